@@ -225,8 +225,8 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0
     )
     mine = lambda parts: F.pmod(F.xxhash64("vec_id"), F.col(parts)).cast("int")
     all_of = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-    data = grouped.join(cuts, ["dim", "cell"]).select("dim", "cell", mine("data_parts").alias("i"), all_of("query_parts").alias("j"), "vec_id", "vec")
-    asked = sent.join(cuts, ["dim", "cell"]).select("dim", "cell", all_of("data_parts").alias("i"), mine("query_parts").alias("j"), "vec_id", "vec")
+    data = grouped.join(F.broadcast(cuts), ["dim", "cell"]).select("dim", "cell", mine("data_parts").alias("i"), all_of("query_parts").alias("j"), "vec_id", "vec")
+    asked = sent.join(F.broadcast(cuts), ["dim", "cell"]).select("dim", "cell", all_of("data_parts").alias("i"), mine("query_parts").alias("j"), "vec_id", "vec")
 
     def solve(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
