@@ -26,9 +26,11 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,36 +68,57 @@ class Windows:
 
 
 def index(docs: DataFrame, terms: dict[bytes, int]) -> DataFrame:
-    """doc_id, text_hash, n_words, terms, ends and places: the postings of terms[i] are places[ends[i-1]:ends[i]]."""
+    """doc_id, text_hash, n_words, postings of every row; postings are packed by _pack()."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = shared.value
+        numbers, squeeze = shared.value, zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            for part in slices(batch):
-                n_words, found, ends, places = [], [], [], []
+            for part in slices(batch, 128):
+                n_words, postings = [], []
                 for text in as_bytes(part.column(2)):
                     words = words_of(text)
                     n_words.append(len(words))
-                    at = np.fromiter(map(numbers.get, words, [-1] * len(words)), np.int32, len(words))
+                    at = np.fromiter(map(numbers.get, words, repeat(-1)), np.int32, len(words))
                     where = np.flatnonzero(at >= 0)
                     where = where[np.argsort(at[where], kind="stable")]
                     ranked = at[where]
                     last = np.flatnonzero(np.append(ranked[1:] != ranked[:-1], True)) if len(ranked) else where
-                    found.append(ranked[last])
-                    ends.append((last + 1).astype(np.int32))
-                    places.append(where.astype(np.int32))
-                lists = [pa.array(x, pa.list_(pa.int32())) for x in (found, ends, places)]
+                    postings.append(squeeze(_pack(ranked[last], last + 1, where)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(n_words, pa.int64()), *lists],
-                    names=["doc_id", "text_hash", "n_words", "terms", "ends", "places"],
+                    [part.column(0), part.column(1), pa.array(n_words, pa.int64()), pa.array(postings, pa.binary())],
+                    names=["doc_id", "text_hash", "n_words", "postings"],
                 )
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(
-        run, f"doc_id {kind}, text_hash bigint, n_words bigint, terms array<int>, ends array<int>, places array<int>"
-    )
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash bigint, n_words bigint, postings binary")
+
+
+def _pack(terms: np.ndarray, ends: np.ndarray, places: np.ndarray) -> bytes:
+    """Bytes of: the number of terms, the terms, the end of each one's places, and all places as steps from the one before."""
+    return np.concatenate([[len(terms)], terms, ends, np.diff(places, prepend=0)]).astype(np.int32).tobytes()
+
+
+def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """terms, ends and places: the places of terms[i] are places[ends[i-1]:ends[i]]."""
+    flat = np.frombuffer(raw, np.int32)
+    n = int(flat[0])
+    return flat[1 : n + 1], flat[n + 1 : 2 * n + 1], np.cumsum(flat[2 * n + 1 :])
+
+
+def document_frequency(postings: DataFrame) -> dict[int, int]:
+    """In how many rows each term stands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            held = [_unpack(expand(raw))[0] for part in slices(batch) for raw in part.column(0).to_pylist()]
+            terms, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int32()), pa.array(counts, pa.int64())], names=["term", "n"])
+
+    rows = postings.select("postings").mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    return {r["term"]: r["n"] for r in rows.collect()}
 
 
 class Matcher:
@@ -162,18 +185,17 @@ def _covered(matches: list[tuple[int, int, int]]) -> int:
 def _match_block(docs: DataFrame, items: list[tuple[str, bytes]], length: int, slop: int, name: str) -> DataFrame:
     windows = Windows(items, length)
     postings = written(index(docs, windows.terms), f"index-{name}")
-    counted = postings.select(F.explode("terms").alias("term")).groupBy("term").count().collect()
-    plan = windows.plan({r["term"]: r["count"] for r in counted})
+    plan = windows.plan(document_frequency(postings))
     shared = docs.sparkSession.sparkContext.broadcast((windows.windows, windows.items, plan, slop))
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = Matcher(*shared.value)
-        for batch in batches:
-            columns = [batch.column(i) for i in (3, 4, 5)]
+        expand = zstandard.ZstdDecompressor().decompress
+        for batch in (part for whole in batches for part in slices(whole)):
             exact_rows, near_rows, covered = [], [], []
-            for row in range(batch.num_rows):
-                exact, near = match(*(c[row].values.to_numpy(zero_copy_only=False) for c in columns))
+            for raw in batch.column(3).to_pylist():
+                exact, near = match(*_unpack(expand(raw)))
                 listed = {i for k, _, _ in exact for i in match.items[k]}
                 covered.append(_covered(exact))
                 exact_rows.append([{"item_id": i, "start": s, "length": n} for k, s, n in sorted(exact) for i in match.items[k]])
