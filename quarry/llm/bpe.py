@@ -36,10 +36,10 @@ from quarry.llm.common import as_bytes, sha256_hex, slices
 #: Bytes that the rolling hash sees, the chance of an end at a byte, the least bytes of a chunk.
 REACH, ENDS, LEAST = 16, 1 << 10, 256
 #: Bytes of text of the chunks that all tasks share, and of those that a task keeps.
-SHARED_BYTES, KEPT_BYTES = 16_000_000, 16_000_000
+SHARED_BYTES, KEPT_BYTES = 8_000_000, 16_000_000
 #: Bytes of a chunk that is worth sharing at most, and their number at most.
 LONGEST_SHARED, SHARED_CHUNKS = 16_384, 20_000
-#: Pretokens whose ids a task keeps.
+#: Words whose ids a task keeps.
 KEPT_WORDS = 300_000
 _GEAR = np.random.default_rng(4).integers(0, 2**63, 256, dtype=np.uint64)
 _SPACES = b" \t\n\r"
@@ -71,7 +71,7 @@ def chunks(text: bytes) -> list[bytes]:
 
 
 class Encoder:
-    """The library's encoding, by words where that is known to give the same."""
+    """The library's encoding, by words where that is known to give the same; ids are packed as bytes of ``kind``."""
 
     #: Latin text: normal already but for case, and split alike here and in the library.
     LATIN = re.compile(r"[\t\n\v\f\r -~¡-įı-ɏ]*")
@@ -88,28 +88,39 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.words = regex.compile(self.WORDS)
-        self.known: dict[str, list[int]] = {}
+        self.pretokens = regex.compile(self.WORDS).findall
+        self.known: dict[str, bytes] = {}
         self.pieces = [self.library.id_to_token(i) for i in range(self.library.get_vocab_size())]
+        self.ending = np.array([p.endswith("</w>") for p in self.pieces])
+        self.kind = np.dtype(np.uint16 if len(self.pieces) <= 1 << 16 else np.uint32)
 
-    def whole(self, text: str) -> list[int]:
-        return self.library.encode(text, add_special_tokens=False).ids
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
 
-    def __call__(self, text: str) -> list[int]:
+    def whole(self, text: str) -> bytes:
+        return self._ids(text).tobytes()
+
+    def __call__(self, text: str) -> bytes:
         if "<|" in text or not self.LATIN.fullmatch(text):
             return self.whole(text)
-        words = self.words.findall(text.lower())
+        words = text.lower().split()
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
         known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = e.ids
-        out: list[int] = []
-        for w in words:
-            out += known[w]
-        return out
+        if new := list(set(words).difference(known)):
+            known.update(zip(new, self._learn(new), strict=True))
+        return b"".join(map(known.__getitem__, words))
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Ids of words, from one call: a pretoken's last piece, and no other, carries the end mark."""
+        ids = self._ids(" ".join(words))
+        last = np.cumsum([len(self.pretokens(w)) for w in words])
+        stops = np.flatnonzero(self.ending[ids])
+        if last[-1] != len(stops):
+            return [self.whole(w) for w in words]
+        cuts = ((np.append(0, stops[last - 1] + 1)) * self.kind.itemsize).tolist()
+        raw = ids.tobytes()
+        return [raw[lo:hi] for lo, hi in zip(cuts, cuts[1:], strict=False)]
 
     def decode(self, ids: list[int]) -> str:
         """As the library's decode(ids, skip_special_tokens=False), which joins pieces by spaces."""
@@ -125,7 +136,7 @@ class Chunk:
         spaces = [i for i in map(text.find, " \t\n\r") if i >= 0]
         self.plain = not spaces
         if self.plain:
-            self.head, self.tail, self.body, self.first, self.last = text, "", [], "", ""
+            self.head, self.tail, self.body, self.first, self.last = text, "", b"", "", ""
             return
         start, stop = min(spaces), max(map(text.rfind, " \t\n\r"))
         self.head, self.tail = text[:start], text[stop:]
@@ -154,28 +165,30 @@ class Coder:
             self.kept[raw] = found
         return found
 
-    def join(self, before: str, middle: str, after: str) -> list[int] | None:
+    def join(self, before: str, middle: str, after: str) -> bytes | None:
         """Ids of the text across a join, once the words around it come out as in their chunks."""
         ids = self.encode(middle)
         around = self.encode(before + middle + after)
         return ids if around == self.encode(before) + ids + self.encode(after) else None
 
-    def ids(self, raw: bytes | None) -> list[int]:
-        if not raw:
-            return []
-        out: list[int] = []
+    def ids(self, raw: bytes | None) -> np.ndarray:
+        return np.frombuffer(self._packed(raw) if raw else b"", dtype=self.encode.kind)
+
+    def _packed(self, raw: bytes) -> bytes:
+        out: list[bytes] = []
         open_text, before = "", ""
         for piece in map(self.chunk, chunks(raw)):
             if piece.plain:
                 open_text += piece.head
                 continue
-            found = self.join(before, open_text + piece.head, piece.first) if before or open_text or piece.head else []
-            if found is None:
-                return self.encode.whole(raw.decode("utf-8", "replace"))
-            out += found
-            out += piece.body
+            if before or open_text or piece.head:
+                found = self.join(before, open_text + piece.head, piece.first)
+                if found is None:
+                    return self.encode.whole(raw.decode("utf-8", "replace"))
+                out.append(found)
+            out.append(piece.body)
             open_text, before = piece.tail, piece.last
-        return out + self.encode(open_text)
+        return b"".join([*out, self.encode(open_text)])
 
 
 def _hash(raw: bytes) -> int:
@@ -233,7 +246,7 @@ def shared_chunks(docs: DataFrame, path: str) -> dict[bytes, Chunk]:
             made = [Chunk(raw.decode("utf-8", "replace"), encode) for raw in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), *(pa.array([getattr(c, k) for c in made], pa.string()) for k in ("head", "tail", "first", "last")),
-                 pa.array([c.plain for c in made], pa.bool_()), pa.array([np.array(c.body, np.uint32).tobytes() for c in made], pa.binary())],
+                 pa.array([c.plain for c in made], pa.bool_()), pa.array([c.body for c in made], pa.binary())],
                 names=["chunk", "head", "tail", "first", "last", "plain", "body"],
             )
 
@@ -246,8 +259,7 @@ def _restored(rows: dict[bytes, dict]) -> dict[bytes, Chunk]:
     made = {}
     for raw, row in rows.items():
         c = made[raw] = Chunk.__new__(Chunk)
-        c.head, c.tail, c.first, c.last, c.plain = (row[k] for k in ("head", "tail", "first", "last", "plain"))
-        c.body = np.frombuffer(row["body"], np.uint32).tolist()
+        c.head, c.tail, c.first, c.last, c.plain, c.body = (row[k] for k in ("head", "tail", "first", "last", "plain", "body"))
     return made
 
 
@@ -264,7 +276,8 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
         digits = [str(i) for i in range(len(coder.encode.pieces))]
         for batch in batches:
             for part in slices(batch, 256):
-                found = [coder.ids(t) for t in as_bytes(part.column(1))]
+                packed = [coder.ids(t) for t in as_bytes(part.column(1))]
+                found = [ids.tolist() for ids in packed]
                 columns = [
                     part.column(0),
                     pa.array(list(map(len, found)), pa.int64()),
@@ -273,7 +286,7 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
                 ]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns.append(pa.array([np.array(ids, np.int32) for ids in found], pa.list_(pa.int32())))
+                    columns.append(pa.array([ids.astype(np.int32) for ids in packed], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
