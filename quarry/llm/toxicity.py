@@ -116,20 +116,27 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.peaks(texts) + self.shift, -50, 50)))
 
 
+#: Texts whose n-grams are in memory at a time.
+PIECE = 64
+
+
 def _spans(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Training spans of SPAN words: (n-gram buckets sorted by span, first place of each span, text of each span)."""
-    data, counts = _framed(texts)
-    buckets, owners = _grams(data)
-    firsts = np.concatenate([[0], np.cumsum(counts)])
-    text_of = np.repeat(np.arange(len(texts)), counts)
-    within = np.arange(int(counts.sum())) - firsts[:-1][text_of]
-    n_spans = -(-counts // SPAN)
-    base = np.concatenate([[0], np.cumsum(n_spans)])
-    span_of_word = base[:-1][text_of] + within // SPAN
-    span_of_gram = span_of_word[owners] if len(owners) else np.zeros(0, np.int64)
-    order = np.argsort(span_of_gram, kind="stable")
-    starts = np.searchsorted(span_of_gram[order], np.arange(base[-1] + 1))
-    return buckets[order], starts, np.repeat(np.arange(len(texts)), n_spans)
+    """Training spans of SPAN words: (n-gram buckets by span, first place of each span and the end, text of each span)."""
+    found, sizes, owners_of = [], [], []
+    for at in range(0, len(texts), PIECE):
+        data, counts = _framed(texts[at : at + PIECE])
+        buckets, owners = _grams(data)
+        firsts = np.concatenate([[0], np.cumsum(counts)])
+        text_of = np.repeat(np.arange(len(counts)), counts)
+        n_spans = -(-counts // SPAN)
+        base = np.concatenate([[0], np.cumsum(n_spans)])
+        span_of_word = base[:-1][text_of] + (np.arange(int(counts.sum())) - firsts[:-1][text_of]) // SPAN
+        span_of_gram = span_of_word[owners] if len(owners) else np.zeros(0, np.int64)
+        found.append(buckets[np.argsort(span_of_gram, kind="stable")])
+        sizes.append(np.bincount(span_of_gram, minlength=int(base[-1])))
+        owners_of.append(at + np.repeat(np.arange(len(counts)), n_spans))
+    starts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    return np.concatenate(found), starts, np.concatenate(owners_of)
 
 
 def fit(texts: list[str], labels: list[int], dim: int = 8, epochs: int = 3, seed: int = 7, share: float | None = None) -> Model:
@@ -178,9 +185,13 @@ def fit(texts: list[str], labels: list[int], dim: int = 8, epochs: int = 3, seed
             vectors[which] -= (rate * by_bucket / np.sqrt(squares_v[which])[:, None]).astype(np.float32)
 
     def logits_of_spans() -> np.ndarray:
-        side = (vectors @ (soft[:, 1] - soft[:, 0])).astype(np.float64)
-        sums = np.concatenate([[0.0], np.cumsum(side[buckets])])
-        return (sums[starts[1:]] - sums[starts[:-1]]) / np.maximum(1, np.diff(starts)) + float(offset[1] - offset[0])
+        side = vectors @ (soft[:, 1] - soft[:, 0])
+        mean = np.zeros(len(starts) - 1)
+        for at in range(0, len(mean), 1 << 15):
+            cut = starts[at : at + (1 << 15) + 1]
+            sums = np.concatenate([[0.0], np.cumsum(side[buckets[cut[0] : cut[-1]]], dtype=np.float64)])[cut - cut[0]]
+            mean[at : at + len(cut) - 1] = np.diff(sums) / np.maximum(1, np.diff(cut))
+        return mean + float(offset[1] - offset[0])
 
     target = toxic[text_of].astype(np.int64)
     for _ in range(epochs):
@@ -195,7 +206,8 @@ def fit(texts: list[str], labels: list[int], dim: int = 8, epochs: int = 3, seed
         epoch(sure, target[sure], 0.1)
     side = (vectors @ (soft[:, 1] - soft[:, 0])).astype(np.float64)
     model = Model(side, float(offset[1] - offset[0]), share=share)
-    _calibrate(model, model.peaks(texts), toxic, share)
+    peaks = np.concatenate([model.peaks(texts[at : at + PIECE]) for at in range(0, len(texts), PIECE)])
+    _calibrate(model, peaks, toxic, share)
     return model
 
 
