@@ -139,7 +139,7 @@ def _spans(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(found), starts, np.concatenate(owners_of)
 
 
-def fit(texts: list[str], labels: list[int], dim: int = 8, epochs: int = 3, seed: int = 7, share: float | None = None) -> Model:
+def fit(texts: list[str], labels: list[int], dim: int = 8, seed: int = 7, share: float | None = None) -> Model:
     """Vectors and softmax trained together.
 
     First every span carries its document's label. Then, with what was
@@ -155,6 +155,7 @@ def fit(texts: list[str], labels: list[int], dim: int = 8, epochs: int = 3, seed
     filled = np.flatnonzero(np.diff(starts) > 0)
     if not len(filled):
         return Model(None, share=share)
+    epochs = max(3, min(20, 60_000 // len(filled)))  # few spans need more rounds
     vectors = (rng.random((BUCKETS, dim), dtype=np.float32) - 0.5) / dim
     soft = np.zeros((dim, 2), dtype=np.float32)
     offset = np.zeros(2, dtype=np.float32)
