@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_bytes, sha256_hex, slices
+from quarry.llm.common import as_bytes, sha256_hex, share, slices, small_batches
 
 #: Bytes that the rolling hash sees, the chance of an end at a byte, the least bytes of a chunk.
 REACH, ENDS, LEAST = 16, 1 << 10, 256
@@ -209,7 +209,7 @@ def shared_chunks(docs: DataFrame, path: str) -> dict[bytes, Chunk]:
                 [pa.array(list(seen), pa.int64()), *(pa.array([x[i] for x in seen.values()], pa.int64()) for i in (0, 1))], names=["hash", "size", "n"]
             )
 
-    texts = docs.select("text")
+    texts = small_batches(docs).select("text")
     counted = texts.mapInArrow(hashed, "hash bigint, size bigint, n bigint").groupBy("hash").agg(F.max("size").alias("size"), F.sum("n").alias("n"))
     worth = (
         counted.where((F.col("n") > 1) & (F.col("size") <= LONGEST_SHARED))
@@ -226,7 +226,7 @@ def shared_chunks(docs: DataFrame, path: str) -> dict[bytes, Chunk]:
         chosen.add(key)
     if not chosen:
         return {}
-    wanted = docs.sparkSession.sparkContext.broadcast(chosen)
+    wanted = share(docs, chosen)
 
     def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = set(wanted.value)  # a task sends each chunk once
@@ -268,7 +268,7 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
 
     The digests are of the decimal ids joined by spaces, and of the text that the ids decode to.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(shared_chunks(docs, path))
+    shared = share(docs, shared_chunks(docs, path))
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -45,6 +45,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, where the session leaves it to the default.
+BATCH_BYTES = 8 * 1024 * 1024
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with its session set to Arrow batches of BATCH_BYTES unless it has a size of its own.
+
+    The limit by rows alone lets ten thousand long texts into one batch.
+    """
+    name, default = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+    conf = df.sparkSession.conf
+    if conf.get(name, default) == default:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
+def share(df: DataFrame, value):
+    """value, broadcast to the tasks of df."""
+    return small_batches(df).sparkSession.sparkContext.broadcast(value)
+
+
 def held_out(id_column: str = "doc_id", folds: int = 5) -> Column:
     """True for rows of the fold that no model may learn from."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string")) % folds == 0, F.lit(False))

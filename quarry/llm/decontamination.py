@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_bytes, slices, words_of, written
+from quarry.llm.common import as_bytes, share, slices, words_of, written
 
 #: Characters of items that one pass over the corpus takes.
 BLOCK_CHARS = 8_000_000
@@ -69,7 +69,7 @@ class Windows:
 
 def index(docs: DataFrame, terms: dict[bytes, int]) -> DataFrame:
     """doc_id, text_hash, n_words, postings of every row; postings are packed by _pack()."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    shared = share(docs, terms)
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +186,7 @@ def _match_block(docs: DataFrame, items: list[tuple[str, bytes]], length: int, s
     windows = Windows(items, length)
     postings = written(index(docs, windows.terms), f"index-{name}")
     plan = windows.plan(document_frequency(postings))
-    shared = docs.sparkSession.sparkContext.broadcast((windows.windows, windows.items, plan, slop))
+    shared = share(docs, (windows.windows, windows.items, plan, slop))
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quarry.llm.boosted_trees import BoostedTrees
-from quarry.llm.common import slices
+from quarry.llm.common import share, slices
 from quarry.llm.made_up_pages import pages
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
@@ -283,7 +283,7 @@ def main_texts(sources: list[str | None], trees: BoostedTrees) -> list[str]:
 
 def extract(pages_table: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of page_id, url, html."""
-    shared = pages_table.sparkSession.sparkContext.broadcast(vars(model()))
+    shared = share(pages_table, vars(model()))
     kinds = dict(pages_table.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

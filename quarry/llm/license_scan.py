@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_bytes, slices, words_of
+from quarry.llm.common import as_bytes, slices, small_batches, words_of
 
 #: Phrases that decide alone, with their labels.
 BASE = [
@@ -156,7 +156,7 @@ def frequencies(docs: DataFrame, words: list[bytes]) -> tuple[dict[bytes, int],
                     counts.update(wanted.intersection(words_of(text)))
             yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in counts]), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = small_batches(docs).select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
     found = {r["word"].encode(): r["n"] for r in rows}
     return found, found.pop(b"", 0)
 

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_bytes, slices, written
+from quarry.llm.common import as_bytes, slices, small_batches, written
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 REACH = 2
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
                 fps = np.array([fingerprint(t, shingle) for t in as_bytes(part.column(2))], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps)], names=["doc_id", "text_hash", "fp"])
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    rows = small_batches(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     return rows.mapInArrow(run, f"doc_id {kind}, text_hash bigint, fp bigint")
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import written
+from quarry.llm.common import share, written
 
 #: Rows of the sample at most, and bytes of vectors in a block of data and of queries.
 SAMPLE, DATA_BYTES, QUERY_BYTES = 1024, 32_000_000, 4_000_000
@@ -82,7 +82,7 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _group(pivots: dict[int, np.ndarray], rows: DataFrame) -> DataFrame:
     """Rows with their cell and the distance from its pivot. Lengths without a pivot have the zero vector."""
-    shared = rows.sparkSession.sparkContext.broadcast(pivots)
+    shared = share(rows, pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +123,7 @@ def open_groups(pivots: np.ndarray, data: dict[int, tuple[int, float]], queries:
 
 def _send(queries: DataFrame, pivots: dict, sample: dict, radius: dict, open_for: dict, k: int) -> DataFrame:
     """A row of each query for each data group that can hold one of its k best."""
-    shared = queries.sparkSession.sparkContext.broadcast((pivots, sample, radius, open_for))
+    shared = share(queries, (pivots, sample, radius, open_for))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots, sample, radius, open_for = shared.value

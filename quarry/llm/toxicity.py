@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices
+from quarry.llm.common import share, slices
 
 ORDERS = (3, 4, 5, 6)
 BUCKETS = 1 << 17
@@ -256,7 +256,7 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, rows_
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs, model)
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +270,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_civil(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """docs without rows that score ``threshold`` or more; same columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs, model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
