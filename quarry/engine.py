@@ -6,34 +6,53 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.functions.arithmetic import expr_column
 from quarry.functions.scope import Scope
+from quarry.lang.ast import Query
 from quarry.lang.parser import parse_expr, parse_query
 from quarry.operators import core
 from quarry.plans.planner import Node, Planner, show
 from quarry.plans.statistics import Statistics
 
 
+class Tables(dict):
+    """DataFrames by name; a path is read when its table is first used."""
+
+    def __init__(self, spark: SparkSession):
+        super().__init__()
+        self.spark = spark
+
+    def __getitem__(self, name: str) -> DataFrame:
+        found = super().__getitem__(name)
+        if isinstance(found, str):
+            found = self[name] = self.spark.read.parquet(found)
+        return found
+
+
 class Engine:
     def __init__(self, spark: SparkSession, statistics: Statistics | None = None, precedence: str = "grammar", strict: bool = False):
         """precedence: grammar or standard, of arithmetic; strict: WHERE, aliases and equal types are mandatory."""
         self.spark, self.statistics, self.precedence, self.strict = spark, statistics, precedence, strict
-        self.tables: dict[str, DataFrame] = {}
+        self.tables = Tables(spark)
 
     def register(self, name: str, table: DataFrame | str) -> Engine:
         """table: a DataFrame or the path of a Parquet table."""
-        self.tables[name] = self.spark.read.parquet(table) if isinstance(table, str) else table
+        self.tables[name] = table
         return self
 
-    def _planner(self) -> Planner:
-        return Planner({n: df.schema for n, df in self.tables.items()}, self.statistics, self.strict)
+    def _parsed(self, text: str) -> tuple[Query, Planner]:
+        query = parse_query(text, self.precedence, self.strict)
+        schemas = {n: self.tables[n].schema for n, _ in query.tables if n in self.tables}
+        return query, Planner(schemas, self.statistics, self.strict)
 
     def plan(self, text: str) -> Node:
-        return self._planner().plan(parse_query(text, self.precedence, self.strict))
+        query, planner = self._parsed(text)
+        return planner.plan(query)
 
     def sql(self, text: str) -> DataFrame:
-        return self._planner().run(parse_query(text, self.precedence, self.strict), self.tables)
+        query, planner = self._parsed(text)
+        return planner.run(query, self.tables)
 
     def explain(self, text: str) -> str:
-        query, planner = parse_query(text, self.precedence, self.strict), self._planner()
+        query, planner = self._parsed(text)
         return show(planner.plan(query), planner.scope(query))
 
     def where(self, table: str, cnf: str) -> DataFrame:
