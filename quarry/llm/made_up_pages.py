@@ -22,6 +22,8 @@ class _Maker:
 
     def sentence(self, long: bool) -> str:
         lo, hi = (8, 120) if long and self.r.random() < 0.7 else (1, 12)
+        if long and self.r.random() < 0.02:
+            lo, hi = 300, 1500
         text = self.words(lo, hi).capitalize() + self.r.choice([".", ".", ".", "", "!"])
         if self.r.random() < 0.15:
             some = text.split(" ")
