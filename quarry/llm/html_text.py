@@ -46,13 +46,13 @@ _TAGS = [
     {"nav", "menu"}, {"header"}, {"footer"}, {"aside"}, {"form", "fieldset"}, {"article"}, {"main"}, {"section"}, {"div"}, {"ul", "ol", "dl"}, {"li", "dt", "dd"},
     {"p"}, {"h1"}, {"h2", "h3", "h4", "h5", "h6"}, {"table", "tbody", "tr", "td", "th", "thead"}, {"blockquote", "pre", "figure", "figcaption"}, {"#run"}, {"body", "html"},
 ]
-#: Attribute words by kind, matched as prefixes of a class, id or role word.
+#: Attribute words by kind, matched as prefixes of a class, id or role word. The last kind tells of main text, the others against it.
 _WORDS = [
     ("ad", "advert", "ads", "sponsor", "promo", "banner", "dfp", "adslot"),
     ("nav", "menu", "breadcrumb", "topbar", "toolbar", "toc", "pager", "pagination"),
     ("foot", "bottom", "copyright", "legal", "imprint"),
     ("side", "aside", "widget", "rail", "complementary"),
-    ("comment", "discuss", "repl", "respond", "feedback", "review"),
+    ("comment", "discuss", "repl", "respon", "feedback", "review"),
     ("cookie", "consent", "gdpr", "notice", "alert", "popup", "modal", "overlay", "dialog"),
     ("share", "social", "follow", "related", "recommend", "more", "tag", "popular", "trending"),
     ("form", "search", "newsletter", "subscri", "signup", "login", "contact"),
@@ -208,6 +208,7 @@ class Page:
             children[self.parents[i]].append(i)
         kinds = np.zeros((n, len(_WORDS)))
         bad, good, above = np.zeros(n), np.zeros(n), np.zeros((n, len(_WORDS)))
+        told, inside = np.zeros(n), np.zeros(n)
         rank, peers, same, peer_text = np.zeros(n), np.ones(n), np.ones(n), np.zeros(n)
         total = max(1.0, text[0])
         for i in range(n):
@@ -225,6 +226,9 @@ class Page:
             bad[i] = bad[p] + (self.tags[p] in _BAD_TAGS)
             good[i] = good[p] + (self.tags[p] in ("article", "main"))
             above[i] = np.maximum(above[p], kinds[p])
+            telling = self.tags[i] in _BAD_TAGS or kinds[i, :-1].any()
+            told[i] = told[p] + telling
+            inside[i] = 0 if telling else 1 if self.tags[i] in ("article", "main") or kinds[i, -1] else inside[p]
         one_hot = np.zeros((n, len(_TAGS)))
         for i, tag in enumerate(self.tags):
             for k, group in enumerate(_TAGS):
@@ -233,7 +237,7 @@ class Page:
         logs = np.log1p
         columns = [
             np.array(self.depths), peers, rank, logs(text), logs(own), links / np.maximum(1, text), logs(paras), text / nodes, text / np.maximum(1, runs),
-            marks / np.maximum(1, text), text / total, np.where(starts < 0, 1, starts / total), bad, good, same, logs(peer_text), logs(runs),
+            marks / np.maximum(1, text), text / total, np.where(starts < 0, 1, starts / total), bad, good, told, inside, same, logs(peer_text), logs(runs),
             np.array([text[p] / total if p >= 0 else 1 for p in self.parents]), np.full(n, log1p(total)),
         ]
         return np.column_stack([*columns, one_hot, kinds, above])

@@ -58,6 +58,8 @@ class _Maker:
 
     def boilerplate(self, kind: str) -> str:
         r = self.r
+        if kind in ("nav", "sidebar", "related") and r.random() < 0.1:  # only the links tell
+            return f"<div{self.attr(_WRAPS) * (r.random() < 0.7)}>{self.links(3, 12)}</div>"
         if kind == "nav":
             return self.plain_or("nav", ["nav", "menu", "navbar", "breadcrumbs", "topbar", "navigation"], self.links(2, 12))
         if kind == "header":
