@@ -66,6 +66,14 @@ def share(df: DataFrame, value):
     return small_batches(df).sparkSession.sparkContext.broadcast(value)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores after it as tell it apart from the columns of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(id_column: str = "doc_id", folds: int = 5) -> Column:
     """True for rows of the fold that no model may learn from."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string")) % folds == 0, F.lit(False))

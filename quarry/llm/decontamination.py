@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_bytes, share, slices, words_of, written
+from quarry.llm.common import as_bytes, free_name, share, slices, words_of, written
 
 #: Characters of items that one pass over the corpus takes.
 BLOCK_CHARS = 8_000_000
@@ -257,8 +257,9 @@ def match(docs: DataFrame, items: DataFrame, length: int = 10, slop: int = 20, b
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """docs without the rows that hold a window of an item; same columns."""
     hit = match(docs, items, **options).where("n_hit > 0").select("doc_id", "text_hash").distinct()
-    marked = written(hit, "contaminated").toDF("quarry_doc_id", "quarry_text_hash")
+    its_id, its_hash = free_name(docs, "quarry_doc_id"), free_name(docs, "quarry_text_hash")
+    marked = written(hit, "contaminated").toDF(its_id, its_hash)
     if marked.count() <= BROADCAST_ROWS:
         marked = F.broadcast(marked)
-    same = docs["doc_id"].eqNullSafe(F.col("quarry_doc_id")) & (F.xxhash64(docs["text"]) == F.col("quarry_text_hash"))
+    same = docs["doc_id"].eqNullSafe(F.col(its_id)) & (F.xxhash64(docs["text"]) == F.col(its_hash))
     return docs.join(marked, same, "left_anti")

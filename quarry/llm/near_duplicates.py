@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_bytes, slices, small_batches, written
+from quarry.llm.common import as_bytes, free_name, slices, small_batches, written
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 REACH = 2
@@ -243,10 +243,11 @@ def keep_first(docs: DataFrame) -> DataFrame:
     # the least (id, text hash) of a component; ids that are null come last
     order = F.struct(F.col("doc_id").isNull().alias("void"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
     group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
+    its_id, its_hash = free_name(docs, "quarry_doc_id"), free_name(docs, "quarry_text_hash")
     first = found.groupBy(group.alias("group")).agg(F.min(order).alias("first")).select(
-        F.col("first.id").alias("quarry_doc_id"), F.col("first.hash").alias("quarry_text_hash")
+        F.col("first.id").alias(its_id), F.col("first.hash").alias(its_hash)
     )
-    same = docs["doc_id"].eqNullSafe(F.col("quarry_doc_id")) & (F.xxhash64(docs["text"]) == F.col("quarry_text_hash"))
+    same = docs["doc_id"].eqNullSafe(F.col(its_id)) & (F.xxhash64(docs["text"]) == F.col(its_hash))
     kept = docs.join(first.distinct(), same, "left_semi")
     repeated = found.groupBy("doc_id", "text_hash").count().where("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])

@@ -481,6 +481,16 @@ def test_pipeline_stage_by_stage(spark, library):
     assert out == {r["doc_id"]: library.encode(r["text"], add_special_tokens=False).ids for r in survivors}
 
 
+def test_stages_with_columns_of_any_name(odd, spark):
+    docs = odd
+    for name in ("text_hash", "component_id", "quarry_doc_id", "QUARRY_TEXT_HASH", "key", "label", "n_hit", "ids"):
+        docs = docs.withColumn(name, F.lit("x"))
+    assert near_duplicates.keep_first(docs).count() == near_duplicates.keep_first(odd).count()
+    items = spark.createDataFrame([(1, "hund und die katze", 2)], "item_id long, text string, text_hash int")
+    kept = decontamination.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 5, 7]
+
+
 def test_pipeline_on_odd_rows(spark, odd, none, tmp_path):
     spark.read.parquet(f"{DATA}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     spark.read.parquet(f"{DATA}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
