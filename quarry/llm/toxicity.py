@@ -12,7 +12,7 @@ probability.
 Defined cases: null and empty texts, and texts without a word, get the score
 of a document in which nothing was found. Very long texts are scored whole.
 Without any labelled row, or with labels of one class only, every score is
-the share of toxic labels (0 if none). Repeated rows are scored each; a
+the share of toxic labels (0 if none), and the filter rejects nothing. Repeated rows are scored each; a
 doc_id that is labelled twice is toxic if any of its labels is 1. Empty
 input gives an empty result; other columns are ignored.
 """
@@ -269,7 +269,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_civil(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """docs without rows that score ``threshold`` or more; same columns."""
+    """docs without rows that score ``threshold`` or more; same columns. All rows where nothing could be learnt."""
+    if model.weights is None:
+        return docs
     shared = share(docs, model)
     at = docs.columns.index("text")
 

@@ -123,6 +123,7 @@ def test_toxicity_odd_rows(spark, odd, none):
     one_class = toxicity.train(odd, labels.where("toxic = 0"))
     assert {r["score"] for r in toxicity.predict(odd, one_class).collect()} == {0.0}
     assert toxicity.keep_civil(odd, one_class).count() == len(TEXTS)
+    assert toxicity.keep_civil(odd, toxicity.train(odd, labels.selectExpr("doc_id", "1 AS toxic"))).count() == len(TEXTS)
     assert toxicity.predict(none, toxicity.train(none, labels)).count() == 0
 
 
