@@ -172,6 +172,11 @@ def arithmetic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.compute("t", "(l_extendedprice * (1.0 - l_discount)) + l_tax").select(F.round("value", 4).alias("value"))
 
 
+def arithmetic_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = Engine(spark).register("t", _table(spark, sf_dir, "lineitem"))
+    return made.compute("t", "(l_extendedprice * (1.0 - l_discount)) + l_tax").select(F.round("value", 4).alias("value"))
+
+
 def _with_rank(df: DataFrame, order: list[str]) -> DataFrame:
     return df.withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
@@ -283,6 +288,7 @@ OWN: dict[str, tuple[Query, str]] = {
     ),
     "standard_precedence": (standard_precedence, 'SELECT CAST(sum(p_size * p_partkey + 2 - p_size - 1) AS BIGINT) AS "SUM" FROM part'),
     "arithmetic_rows": (arithmetic_rows, "SELECT round((l_extendedprice * (1 - l_discount)) + l_tax, 4) AS value FROM lineitem WHERE l_orderkey < 500"),
+    "arithmetic_all_rows": (arithmetic_all_rows, "SELECT round((l_extendedprice * (1 - l_discount)) + l_tax, 4) AS value FROM lineitem"),
     "sort_keys": (sort_keys, "SELECT s_suppkey, s_nationkey, CAST(row_number() OVER (ORDER BY s_nationkey, s_suppkey) AS INTEGER) AS place FROM supplier"),
     "sort_full": (
         sort_full,

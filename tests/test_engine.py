@@ -35,6 +35,11 @@ def test_query_against_sql(spark, name):
         assert listed(ours[columns]) == listed(theirs[columns])
 
 
+def test_arithmetic_covers_every_row(spark):
+    rows = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    assert relational.queries()["arithmetic_all_rows"](spark, DATA).count() == rows
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
