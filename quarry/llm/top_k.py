@@ -1,9 +1,9 @@
 """Exact top-k inner products by a Voronoi join.
 
-Vectors are grouped around pivots. A group's summary holds its size and the
-largest distance of a member from the pivot, which bounds the inner product
-of any query with any member from both sides. From the summaries every
-query group learns a score that each of its queries reaches k times for
+Vectors are grouped around pivots. A group's summary holds its number of
+ids, each counted in one group only, and the largest distance of a member
+from the pivot, which bounds the inner product of any query with any member
+from both sides. From the summaries every query group learns a score that each of its queries reaches k times for
 sure, and which data groups cannot beat it; a query then goes only to data
 groups that can still beat its own k-th score on a sample of the data. Data
 groups are cut into blocks of bounded size, queries of a group likewise; a
@@ -102,8 +102,8 @@ def _group(pivots: dict[int, np.ndarray], rows: DataFrame) -> DataFrame:
 def open_groups(pivots: np.ndarray, data: dict[int, tuple[int, float]], queries: dict[int, float], k: int) -> dict[int, list[int]]:
     """For each query group the data groups that its summary cannot rule out.
 
-    data: size and radius by cell; queries: radius by cell. For q = p + a and
-    x = r + b the product lies within |p||b| + |r||a| + |a||b| of p.r.
+    data: number of ids (each counted in one cell only) and radius by cell;
+    queries: radius by cell. For q = p + a and x = r + b the product lies within |p||b| + |r||a| + |a||b| of p.r.
     """
     cells = sorted(data)
     centres = pivots[cells]
@@ -203,9 +203,10 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0
 
     grouped = written(_group(pivots, rows), "groups")
     is_query = F.col("vec_id") % every == 0
-    summary = grouped.groupBy("dim", "cell").agg(
-        F.count("*").alias("n"), F.max("gap").alias("radius"), F.max(F.when(is_query, F.col("gap"))).alias("reach")
-    )
+    # an id counts once, in the least of its groups
+    single = grouped.groupBy("dim", "vec_id").agg(F.min("cell").alias("cell")).groupBy("dim", "cell").agg(F.count("*").alias("n"))
+    summary = grouped.groupBy("dim", "cell").agg(F.max("gap").alias("radius"), F.max(F.when(is_query, F.col("gap"))).alias("reach"))
+    summary = summary.join(single, ["dim", "cell"], "left").select("dim", "cell", F.coalesce("n", F.lit(0)).alias("n"), "radius", "reach")
     open_for, radius, sizes = {}, {}, {}
     for r in summary.collect():
         sizes.setdefault(r["dim"], {})[r["cell"]] = r

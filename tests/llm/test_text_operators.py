@@ -323,6 +323,14 @@ def test_summaries_rule_out_far_groups():
     assert top_k.open_groups(pivots, {0: (50, 1.0), 1: (50, 1.0)}, {0: 0.5}, 5) == {0: [0]}
 
 
+def test_top_k_where_every_row_is_repeated(spark):
+    rng = np.random.default_rng(3)
+    places = [(3 * c + i, [10.0 * (c + 1) + float(rng.normal()) * 0.01, float(rng.normal()) * 0.01]) for c in range(8) for i in range(3)]
+    rows = [row for row in places for _ in range(6)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in top_k.search(table, k=5, every=1).collect()) == brute_top(places, 5, 1)
+
+
 # urls
 
 
