@@ -2,8 +2,9 @@
 
 Per host, paths form a tree of segments. Digit runs become ``#``; where a
 node has more than ``FAN_OUT`` different children they become one wildcard.
-Branches with the same shape below whose share of blocked labels does not
-differ from their pool's (two-sided test of a proportion) are merged. A
+Branches of a node, at any level, with the same shape below are pooled;
+those of at least ``LABELS`` labels whose share of blocked ones does not
+differ from the pool's (two-sided test of a proportion) are merged. A
 template is rejected if its smoothed share of blocked labels reaches
 ``PURITY`` on at least ``LABELS`` labels. Labels are the verdicts of the
 rules that fit a url, plus any that are given.
@@ -13,15 +14,15 @@ digits and wildcards keep few; a host with a third of all urls costs no
 task more than its templates.
 
 Defined cases: a null url, or one without ``://``, has an empty host and
-path and no template, and is allowed. Segments beyond ``DEPTH`` count as one.
-Very long urls stay whole. Of rules of equal length the first in
-alphabetical order wins. Repeated rows are judged each. Empty input gives an
-empty result; other columns are ignored.
+path and no template, and is allowed. Very long urls stay whole. Of rules
+of equal length the first in alphabetical order wins. Repeated rows are
+judged each. Empty input gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import string
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +37,8 @@ RULES = [
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 ]
+#: DEPTH serves the SQL twin alone, which takes further segments as one; here paths have their real depth.
 DEPTH, FAN_OUT, LABELS, PURITY, WEIGHT, DIFFERENT = 4, 20, 3, 0.8, 2.0, 1.96
-_LEVELS = [f"t{d}" for d in range(1, DEPTH + 1)]
 
 
 def split_url(urls: DataFrame, column: str = "url") -> DataFrame:
@@ -66,57 +67,91 @@ def _by_rules(rules: list[tuple[str, str, str]], give) -> Column:
     return F.coalesce(*fits, F.lit(None).cast("string"))
 
 
-def _segments() -> list[Column]:
-    """The generalised segments of path; absent ones are empty."""
+def _shape() -> Column:
+    """The generalised path: its segments, joined by single slashes."""
     parts = F.filter(F.split("path", "/", -1), lambda s: s != "")
-    shaped = F.transform(parts, lambda s: F.regexp_replace(s, "[0-9]+", "#"))
-    firsts = [F.coalesce(F.get(shaped, F.lit(d)), F.lit("")) for d in range(DEPTH - 1)]
-    return [*firsts, F.array_join(F.slice(shaped, DEPTH, 1_000_000), "/")]
+    return F.array_join(F.transform(parts, lambda s: F.regexp_replace(s, "[0-9]+", "#")), "/")
+
+
+def _generalise(tree: DataFrame) -> DataFrame:
+    """tree (host, shape, ...) with its template: the segments of shape, with wildcards below wide nodes.
+
+    Nothing below a node of at most FAN_OUT paths is wide, so these paths
+    stay as they are. In other nodes a round passes all segments that the
+    paths share and decides the level after them.
+    """
+    nothing, node, given, done = F.array().cast("array<string>"), ["host", "template"], tree.columns, []
+    segments = F.when(F.col("shape") == "", nothing).otherwise(F.split("shape", "/", -1))
+    todo = tree.withColumn("template", nothing).withColumn("rest", segments)
+    while True:
+        held = todo.groupBy(*node).agg(F.count("*").alias("paths"), F.min("rest").alias("low"), F.max("rest").alias("high")).where(F.col("paths") > FAN_OUT)
+        differ = F.array_position(F.zip_with("low", "high", lambda a, b: a.eqNullSafe(b)), F.lit(False))
+        held = held.select(*node, F.when(differ == 0, F.size("low")).otherwise(differ - 1).cast("int").alias("shared"))
+        size = F.size("rest")
+        passed = F.coalesce("shared", size)
+        rows = todo.join(held, node, "left").select(
+            *given, F.concat("template", F.slice("rest", F.lit(1), passed)).alias("template"), F.get("rest", passed).alias("next"),
+            F.slice("rest", passed + 2, size).alias("rest"),
+        )
+        rows = written(rows, "level")
+        done.append(rows.where("next IS NULL").select(*given, "template"))
+        more = rows.where("next IS NOT NULL")
+        if more.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        wide = more.groupBy(*node, "next").agg(F.lit(1).alias("one")).groupBy(*node).count().where(F.col("count") > FAN_OUT)
+        wide = wide.select(*node, F.lit("*").alias("star"))
+        todo = more.join(wide, node, "left").select(*given, F.concat("template", F.array(F.coalesce("star", "next"))).alias("template"), "rest")
+
+
+def _merge(leaves: DataFrame) -> DataFrame:
+    """host, leaf, more_labelled, more_blocked: what the branches merged with a leaf add to its labels.
+
+    A leaf is compared with its siblings at each level: the leaves whose
+    templates differ from its own in that segment alone, FAN_OUT at most.
+    Siblings of different levels differ, so no label is added twice.
+    """
+    around = F.concat(F.slice("template", F.lit(1), F.col("d")), F.array(F.lit("")), F.slice("template", F.col("d") + 2, F.size("template")))
+    places = leaves.where("n_labelled > 0").select("host", "leaf", "n_labelled", "n_blocked", "template", F.posexplode("template").alias("d", "own"))
+    places = places.select("host", "leaf", "n_labelled", "n_blocked", F.sha2(F.array_join(around, "/"), 256).alias("pool"))
+    pool = ["host", "pool"]
+    pools = places.groupBy(*pool).agg(F.sum("n_labelled").alias("pool_labelled"), F.sum("n_blocked").alias("pool_blocked"))
+    share = F.col("pool_blocked") / F.col("pool_labelled")
+    gap = F.abs(F.col("n_blocked") / F.col("n_labelled") - share)
+    alike = gap <= DIFFERENT * F.sqrt(share * (1 - share) / F.col("n_labelled")) + 1e-9
+    merged = places.join(pools, pool).where((F.col("n_labelled") >= LABELS) & alike).select(*places.columns)
+    pooled = merged.groupBy(*pool).agg(F.count("*").alias("branches"), *(F.sum(c).alias(f"all_{c}") for c in ("n_labelled", "n_blocked")))
+    added = (F.sum(F.col(f"all_n_{c}") - F.col(f"n_{c}")).alias(f"more_{c}") for c in ("labelled", "blocked"))
+    return merged.join(pooled.where("branches > 1"), pool).groupBy("host", "leaf").agg(*added)
 
 
 def templates(labelled: DataFrame) -> DataFrame:
-    """host, g1.. (segments), t1.. (template), merged, n, n_labelled, n_blocked, purity, rejected.
+    """host, shape (generalised path), template, merged, n, n_labelled, n_blocked, purity, rejected.
 
     labelled: host, path and label (block, allow or null).
     """
-    shapes = [c.alias(f"g{d}") for d, c in enumerate(_segments(), 1)]
-    given = [f"g{d}" for d in range(1, DEPTH + 1)]
     tree = written(
         labelled.where("host <> ''")
-        .select("host", *shapes, "label")
-        .groupBy("host", *given)
+        .select("host", _shape().alias("shape"), "label")
+        .groupBy("host", "shape")
         .agg(
             F.count("*").alias("n"),
             F.count("label").alias("n_labelled"),
             F.count(F.when(F.col("label") == "block", 1)).alias("n_blocked"),
         ),
-        "segments",
+        "shapes",
     )
-    for d in range(1, DEPTH + 1):
-        node = ["host", *_LEVELS[: d - 1]]
-        wide = tree.where(F.col(f"g{d}") != "").groupBy(*node, f"g{d}").agg(F.lit(1).alias("one")).groupBy(*node).count().where(F.col("count") > FAN_OUT)
-        wide = wide.select(*node, F.lit(True).alias("wide"))
-        star = F.col("wide").isNotNull() & (F.col(f"g{d}") != "")
-        tree = tree.join(wide, node, "left").withColumn(f"t{d}", F.when(star, F.lit("*")).otherwise(F.col(f"g{d}"))).drop("wide")
-
-    sums = [F.sum(c).alias(c) for c in ("n", "n_labelled", "n_blocked")]
-    leaves = tree.groupBy("host", *_LEVELS).agg(*sums)
-    shape = ["host", *_LEVELS[1:]]
-    pools = leaves.groupBy(*shape).agg(F.sum("n_labelled").alias("pool_labelled"), F.sum("n_blocked").alias("pool_blocked"))
-    share = F.col("pool_blocked") / F.col("pool_labelled")
-    gap = F.abs(F.col("n_blocked") / F.col("n_labelled") - share)
-    alike = gap <= DIFFERENT * F.sqrt(share * (1 - share) / F.col("n_labelled")) + 1e-9
-    merged = F.coalesce((F.col("n_labelled") >= LABELS) & F.when(F.col("n_labelled") > 0, alike), F.lit(False))
-    leaves = leaves.join(pools, shape).withColumn("merged", merged).drop("pool_labelled", "pool_blocked")
-    pooled = leaves.where("merged").groupBy(*shape).agg(*(F.sum(c).alias(f"pool_{c}") for c in ("n_labelled", "n_blocked")))
     whole = tree.agg(F.sum("n_labelled").alias("all_labelled"), F.sum("n_blocked").alias("all_blocked")).first()
     prior = ((whole["all_blocked"] or 0) + 1) / ((whole["all_labelled"] or 0) + 2)
-    counted, blocked = (F.when(F.col("merged"), F.col(f"pool_{c}")).otherwise(F.col(c)) for c in ("n_labelled", "n_blocked"))
+    tree = _generalise(tree).withColumn("leaf", F.sha2(F.array_join("template", "/"), 256))
+    sums = [F.sum(c).alias(c) for c in ("n", "n_labelled", "n_blocked")]
+    leaves = written(tree.groupBy("host", "leaf").agg(F.first("template").alias("template"), *sums), "leaves")
+    counted, blocked = (F.col(f"n_{c}") + F.coalesce(f"more_{c}", F.lit(0)) for c in ("labelled", "blocked"))
     purity = (blocked + WEIGHT * prior) / (counted + WEIGHT)
-    judged = leaves.join(pooled, shape, "left").select(
-        "host", *_LEVELS, "merged", "n", "n_labelled", "n_blocked", purity.alias("purity"), ((counted >= LABELS) & (purity >= PURITY)).alias("rejected")
-    )
-    return tree.select("host", *given, *_LEVELS).join(judged, ["host", *_LEVELS])
+    judged = leaves.join(_merge(leaves), ["host", "leaf"], "left").select(
+        "host", "leaf", F.col("more_labelled").isNotNull().alias("merged"), "n", "n_labelled", "n_blocked",
+        purity.alias("purity"), ((counted >= LABELS) & (purity >= PURITY)).alias("rejected"),
+    )
+    return tree.select("host", "shape", "template", "leaf").join(judged, ["host", "leaf"]).drop("leaf")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labels: DataFrame | None = None) -> DataFrame:
@@ -130,9 +165,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labels: D
     if labels is not None:
         more = labels.groupBy("page_id").agg(F.max("label").alias("given"))
         known = rows.join(more, "page_id", "left").withColumn("label", F.coalesce("label", "given"))
-    given = [f"g{d}" for d in range(1, DEPTH + 1)]
-    rejected = templates(known.select("host", "path", "label")).where("rejected").select("host", *given, F.lit("block").alias("method"))
-    shaped = rows.select("*", *(c.alias(g) for g, c in zip(given, _segments(), strict=True)))
-    return shaped.join(rejected, ["host", *given], "left").select(
+    rejected = templates(known.select("host", "path", "label")).where("rejected").select("host", "shape", F.lit("block").alias("method"))
+    return rows.withColumn("shape", _shape()).join(rejected, ["host", "shape"], "left").select(
         "page_id", "host", "path", "rule", F.coalesce("label", "method", F.lit("allow")).alias("verdict")
     )

@@ -355,6 +355,27 @@ def test_templates_spread_labels(spark):
     assert {found[i] for i in range(40)} == {"block"} and {found[100 + i] for i in range(10)} == {"allow"}
 
 
+WORDS_OF_URLS = [a + b for a in "abcde" for b in "vwxyz"]
+
+
+@pytest.mark.parametrize("above", ["a/b/c", "a/" * 2000 + "b"])
+def test_templates_reach_the_real_depth(spark, above):
+    urls = [(i + at, f"x://h.org/{above}/{kind}/{w}") for at, kind in ((0, "ads"), (100, "news")) for i, w in enumerate(WORDS_OF_URLS)]
+    rows = spark.createDataFrame(urls, "page_id long, url string")
+    labels = spark.createDataFrame([(i + at, label) for at, label in ((0, "block"), (100, "allow")) for i in range(20)], "page_id long, label string")
+    found = {r["page_id"]: r["verdict"] for r in url_filter.judge(rows, labels=labels).collect()}
+    assert {found[i] for i in range(25)} == {"block"} and {found[100 + i] for i in range(25)} == {"allow"}
+
+
+def test_branches_merge_at_every_level(spark):
+    urls = [(10 * b + i, f"x://h.org/en/{name}/{i}") for b, name in enumerate(("ab", "cd", "ef", "gh")) for i in range(6)]
+    urls += [(100 + i, f"x://i.org/en/good/{i}") for i in range(40)]
+    rows = spark.createDataFrame(urls, "page_id long, url string")
+    labels = spark.createDataFrame([(10 * b + i, "block") for b in range(4) for i in range(3)] + [(100 + i, "allow") for i in range(40)], "page_id long, label string")
+    found = {r["page_id"]: r["verdict"] for r in url_filter.judge(rows, labels=labels).collect()}
+    assert {v for i, v in found.items() if i < 100} == {"block"} and {v for i, v in found.items() if i >= 100} == {"allow"}
+
+
 # chats
 
 
