@@ -9,7 +9,9 @@ in which nothing is kept below a dropped node. The trees are fitted on
 pages that this module makes up, since no page here is labelled.
 
 Defined cases: null or empty html, and pages without main text, give the
-empty text. Scripts, styles, heads, comments and templates never give text.
+empty text. Raw elements (scripts, styles, templates and the others of ``_RAW``),
+elements whose text no browser shows (``_UNSEEN``) and comments never give
+text; all else, formulas and buttons included, is left to the trees.
 Very long pages are read whole, unclosed elements end with the page.
 Repeated rows are extracted each. Empty input gives an empty result; other
 columns are ignored.
@@ -33,12 +35,17 @@ from quarry.llm.made_up_pages import pages
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|data-y)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
-_UNSEEN = {"head", "svg", "math", "select", "button", "object", "audio", "video", "canvas", "map"}
+#: Elements passed up to their closing tags; an annotation is the hidden source of a formula.
+_RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes", "annotation", "annotation-xml"}
+_RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I | re.A) for tag in _RAW}
+#: Elements whose text no browser shows: metadata, and what stands in for media that it cannot play or draw.
+_UNSEEN = {"head", "audio", "video", "canvas"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt",
     "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var",
+    "math", "semantics", "mrow", "mi", "mn", "mo", "ms", "mtext", "mspace", "mstyle", "mpadded", "mphantom", "merror", "menclose", "maction", "mfrac", "msqrt", "mroot",
+    "msub", "msup", "msubsup", "munder", "mover", "munderover", "mmultiscripts", "mprescripts", "none", "mtable", "mtr", "mlabeledtr", "mtd",
 }
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _STOPS = {"ul", "ol", "dl", "table", "select"}
@@ -72,7 +79,6 @@ class Page:
         stack: list[tuple[str, int]] = [("body", 0)]
         links = unseen = 0
         fresh, at, end = True, 0, len(source)
-        low = None
 
         def add(piece: str) -> None:
             nonlocal fresh
@@ -120,9 +126,9 @@ class Page:
                     del stack[place:]
                 continue
             if tag in _RAW:
-                low = low if low is not None else source.lower()
-                close = low.find(f"</{tag}", at) if found[2][-1:] != "/" or tag in ("script", "style") else at
-                at = end if close < 0 else close
+                if found[2][-1:] != "/" or tag in ("script", "style"):
+                    close = _RAW_ENDS[tag].search(source, at)
+                    at = close.start() if close else end
                 continue
             if tag in _VOID:
                 if tag == "br" and not unseen and not fresh:
@@ -168,9 +174,9 @@ class Page:
             self.words.append(tuple(w for w in words if w))
             self.marks.append(mark)
             stack.append((tag, node))
-            if found[2][-1:] == "/" and tag in _UNSEEN:
+            if found[2][-1:] == "/" and (tag in _UNSEEN or any(t == "svg" for t, _ in stack)):
                 stack.pop()
-                unseen -= 1
+                unseen -= tag in _UNSEEN
         has_blocks = set(self.parents)
         for run in self.runs:
             run[1] = " ".join("".join(run[1]).split())

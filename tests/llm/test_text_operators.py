@@ -276,6 +276,24 @@ def test_article_of_a_page(spark):
     assert html_text.extract(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tag", ["script", "STYLE", "noscript"])
+def test_closing_tags_after_letters_that_grow(tag):
+    page = html_text.Page(f"<p>{'İ' * 30}</p><{tag}>var a = '</p>'</{tag}><p>Bu bir metin.</p><{tag}>b</{tag.swapcase()}><footer>son</footer>")
+    assert [(page.tags[node], text) for node, text, _ in page.runs] == [("p", "İ" * 30), ("p", "Bu bir metin."), ("footer", "son")]
+
+
+def test_only_text_that_no_browser_shows_is_cut_away():
+    formula = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mspace/><mn>1</mn></mrow><annotation>x=1</annotation></semantics></math>"
+    page = html_text.Page(
+        f"<p>Let {formula} be.</p><svg><path d='M0'/><text>axis</text></svg><object>shown</object><map>plan</map><button>press</button>"
+        "<select><option>one<option>two</select><video>old</video><canvas>old</canvas><p>End.</p>"
+    )
+    assert [text for _, text, _ in page.runs] == ["Let x=1 be.", "axis", "shown", "plan", "press", "one", "two", "End."]
+    assert len({page.depths[i] for i, tag in enumerate(page.tags) if tag == "p"}) == 1
+    article = f"<nav><a href=/>home</a></nav><article><h1>Title of it</h1><p>Let the value {formula} be given, as in all that follows here.</p><p>And more, of it.</p></article>"
+    assert html_text.main_texts([article], html_text.model()) == ["Title of it Let the value x=1 be given, as in all that follows here. And more, of it."]
+
+
 # top k
 
 
