@@ -21,8 +21,10 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from math import log1p
 
 import numpy as np
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 
 from quarry.llm.boosted_trees import BoostedTrees
 from quarry.llm.common import share, slices
-from quarry.llm.made_up_pages import pages
+from quarry.llm.made_up_pages import flat_pages, pages
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|data-y)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -223,9 +225,10 @@ class Page:
                     if w.startswith(starts_with) and (k or len(w) < 4 or not w.startswith("ad") or w.startswith(("adv", "ads"))):
                         kinds[i, k] = 1
             own_kids = children[i]
+            alike = Counter(self.tags[c] for c in own_kids)
             for place, c in enumerate(own_kids):
                 rank[c], peers[c] = place / max(1, len(own_kids) - 1), len(own_kids)
-                same[c] = sum(self.tags[c] == self.tags[o] for o in own_kids) / len(own_kids) if len(own_kids) < 50 else 1
+                same[c] = alike[self.tags[c]] / len(own_kids)
                 peer_text[c] = (text[i] - text[c]) / max(1, len(own_kids) - 1)
         for i in sorted(range(1, n), key=lambda i: self.depths[i]):
             p = self.parents[i]
@@ -275,7 +278,7 @@ class Page:
 
 @lru_cache(maxsize=1)
 def model(n_pages: int = 1200, seed: int = 5) -> BoostedTrees:
-    made = [Page(source) for source in pages(n_pages, seed)]
+    made = [Page(source) for source in chain(pages(n_pages, seed), flat_pages(n_pages // 20, seed))]
     x = np.concatenate([p.features() for p in made])
     return BoostedTrees().fit(x, np.concatenate([p.labels() for p in made]))
 

@@ -150,8 +150,27 @@ class _Maker:
         end = "</body></html>" if r.random() < 0.8 else ""
         return f"<!DOCTYPE html><html><head><title>{self.words(1, 8)}</title><style>p{{}}</style><script>a('</p>')</script></head><body>{page}{end}"
 
+    def flat_page(self) -> str:
+        """50 to 200 blocks side by side, with a few that are no main text among them."""
+        r = self.r
+        simple = r.random() < 0.4
+        blocks = [f"<p data-y=1>{self.sentence(True)}</p>" if simple else self.main_block() for _ in range(r.randint(50, 200))]
+        for _ in range(r.randint(1, 6)):
+            blocks.insert(r.randint(0, len(blocks)), self.boilerplate(r.choice(["ad", "share", "form", "nav", "sidebar", "notice", "related"])))
+        body = f"<h1 data-y=1>{self.words(1, 12)}</h1>" * (r.random() < 0.85) + "".join(blocks)
+        around = r.choice(["", "article", "main", "div"])
+        if around:
+            return f"<html><body>{self.boilerplate('nav')}<{around}>{body}</{around}>{self.boilerplate('footer')}</body></html>"
+        return f"<html><body>{self.boilerplate('nav')}{body}{self.boilerplate('footer')}</body></html>"
+
 
 def pages(n: int, seed: int) -> Iterator[str]:
     maker = _Maker(random.Random(seed))
     for _ in range(n):
         yield maker.page()
+
+
+def flat_pages(n: int, seed: int) -> Iterator[str]:
+    maker = _Maker(random.Random(seed))
+    for _ in range(n):
+        yield maker.flat_page()

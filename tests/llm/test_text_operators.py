@@ -294,6 +294,13 @@ def test_only_text_that_no_browser_shows_is_cut_away():
     assert html_text.main_texts([article], html_text.model()) == ["Title of it Let the value x=1 be given, as in all that follows here. And more, of it."]
 
 
+@pytest.mark.parametrize("n", [10, 49, 80])
+def test_share_of_equal_siblings_at_every_size(n):
+    page = html_text.Page("<p>text</p>" * (n - 1) + "<nav>menu</nav>")
+    shares = page.features()[:, 16]
+    assert shares[page.tags.index("nav")] == 1 / n and shares[page.tags.index("p")] == (n - 1) / n
+
+
 # top k
 
 
