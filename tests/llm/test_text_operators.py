@@ -536,6 +536,40 @@ def test_pipeline_stage_by_stage(spark, library):
     assert out == {r["doc_id"]: library.encode(r["text"], add_special_tokens=False).ids for r in survivors}
 
 
+def test_every_stage_keeps_just_the_right_rows(spark):
+    labels, benchmark = (spark.read.parquet(f"{DATA}/{name}.parquet") for name in ("labels", "benchmark"))
+    windows = {}
+    for r in benchmark.collect():
+        w = words(r["text"])
+        n = min(10, len(w))
+        windows.setdefault(n, set()).update(tuple(w[i : i + n]) for i in range(len(w) - n + 1) if n)
+
+    def identified(docs, rows):
+        score = language_id.Scorer(language_id.train(docs, where=~held_out()))
+        return {i for i, t in rows if (found := score(t))[0] != language_id.UNDETERMINED and found[1] >= 0.3}
+
+    def civil(docs, rows):
+        model = toxicity.train(docs, labels, where=~held_out())
+        return {i for i, t in rows if model.scores([t])[0] < 0.5}
+
+    def firsts(docs, rows):
+        least = {}
+        for (i, _), root in zip(rows, slow_components([slow_fingerprint(t) for _, t in rows]), strict=True):
+            least[root] = min(i, least.get(root, i))
+        return set(least.values())
+
+    def clean(docs, rows):
+        split = {i: words(t) for i, t in rows}
+        return {i for i, w in split.items() if not any(tuple(w[at : at + n]) in of for n, of in windows.items() for at in range(len(w) - n + 1))}
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for (name, stage), wanted in zip(corpus_pipeline.STAGES[:-1], (identified, civil, firsts, clean), strict=True):
+        rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        kept = stage(spark, docs, DATA).cache()
+        assert sorted(r["doc_id"] for r in kept.collect()) == sorted(wanted(docs, rows)), name
+        docs = kept
+
+
 def test_stages_with_columns_of_any_name(odd, spark):
     docs = odd
     for name in ("text_hash", "component_id", "quarry_doc_id", "QUARRY_TEXT_HASH", "key", "label", "n_hit", "ids"):
