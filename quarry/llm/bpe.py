@@ -8,10 +8,9 @@ other chunk is encoded where it is met, and kept by that task for a while.
 
 A chunk's encoding is right inside, not at its ends, where it may have cut a
 word. Each join is repaired: the text from the last white space before to
-the first after it is encoded anew, with a growing number of neighbouring
-words, until what comes out for the neighbours agrees with what the
-chunks had for them. A join that never agrees has its document encoded as
-a whole. No token reaches over white space, so agreement is exact.
+the first after it is encoded anew, once with one neighbouring word on
+either side; what comes out must be what the three parts give alone. A
+join where it is not has its document encoded as a whole. No token reaches over white space, so agreement is exact.
 
 Defined cases: null is encoded like the empty text, to no tokens. Very long
 texts are encoded whole, as is a text without white space. Strings of
