@@ -84,25 +84,22 @@ FROM scored QUALIFY rank <= 5
 """
 
 
+def _alike(part: str, of: str, all_parts: str, all_of: str) -> str:
+    share = f"({all_parts} / {all_of})"
+    return (
+        f"CASE WHEN {of} = 0 OR {all_of} = {of} THEN true ELSE abs({part} / {of} - ({all_parts} - {part}) / ({all_of} - {of})) "
+        f"<= {url.DIFFERENT} * sqrt({share} * (1 - {share}) * (1 / {of} + 1 / ({all_of} - {of}))) + 1e-9 END"
+    )
+
+
 def _url_sql() -> str:
-    levels = range(1, url.DEPTH + 1)
-    given, tree = ", ".join(f"g{d}" for d in levels), ", ".join(f"t{d}" for d in levels)
-    below = ", ".join(f"t{d}" for d in levels if d > 1)
     rules = sorted(url.RULES, key=lambda r: (-len(r[0] + r[1]), r[0] + r[1]))
     fits = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for h, p, _ in rules]
     rule = "CASE " + " ".join(f"WHEN {f} THEN '{h}{p}'" for f, (h, p, _) in zip(fits, rules, strict=True)) + " END"
     label = "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, (_, _, v) in zip(fits, rules, strict=True)) + " END"
-    segments = ", ".join([f"coalesce(s[{d}], '') AS g{d}" for d in levels if d < url.DEPTH] + [f"array_to_string(s[{url.DEPTH}:], '/') AS g{url.DEPTH}"])
-    steps = ["l0 AS (SELECT host, " + given + ", count(*) AS n, count(label) AS nl, count(*) FILTER (label = 'block') AS nb FROM shaped WHERE host <> '' GROUP BY ALL)"]
-    for d in levels:
-        node = ", ".join(["host", *(f"t{k}" for k in range(1, d))])
-        steps.append(
-            f"l{d} AS (SELECT l.*, CASE WHEN wide.host IS NOT NULL AND l.g{d} <> '' THEN '*' ELSE l.g{d} END AS t{d} FROM l{d - 1} l LEFT JOIN "
-            f"(SELECT {node} FROM l{d - 1} WHERE g{d} <> '' GROUP BY {node} HAVING count(DISTINCT g{d}) > {url.FAN_OUT}) wide USING ({node}))"
-        )
-    prior = "(SELECT (coalesce(sum(nb), 0) + 1) / (coalesce(sum(nl), 0) + 2) FROM l0)"
+    prior = "(SELECT (coalesce(sum(nb), 0) + 1) / (coalesce(sum(nl), 0) + 2) FROM tree)"
     return f"""
-WITH parsed AS (
+WITH RECURSIVE parsed AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), split AS (
   SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS h, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM parsed
@@ -110,21 +107,34 @@ WITH parsed AS (
   SELECT page_id, {_LOWER.format("h")} AS host, path FROM split
 ), judged AS (
   SELECT *, {rule} AS rule, {label} AS label,
-         list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: regexp_replace(s, '[0-9]+', '#', 'g')) AS s FROM hosts
-), shaped AS (SELECT page_id, host, path, rule, label, {segments} FROM judged),
-{", ".join(steps)},
-leaves AS (SELECT host, {tree}, sum(nl) AS nl, sum(nb) AS nb FROM l{url.DEPTH} GROUP BY ALL),
-pools AS (SELECT host, {below}, sum(nl) AS pl, sum(nb) AS pb FROM leaves GROUP BY ALL),
-tested AS (
-  SELECT leaves.*, coalesce(nl >= {url.LABELS} AND CASE WHEN nl > 0 THEN
-    abs(nb / nl - pb / pl) <= {url.DIFFERENT} * sqrt((pb / pl) * (1 - pb / pl) / nl) + 1e-9 END, false) AS merged
-  FROM leaves JOIN pools USING (host, {below})
-), pooled AS (SELECT host, {below}, sum(nl) AS ml, sum(nb) AS mb FROM tested WHERE merged GROUP BY ALL),
-counted AS (SELECT tested.*, CASE WHEN merged THEN ml ELSE nl END AS cl, CASE WHEN merged THEN mb ELSE nb END AS cb FROM tested LEFT JOIN pooled USING (host, {below})),
-rejected AS (SELECT host, {tree} FROM counted WHERE cl >= {url.LABELS} AND (cb + {url.WEIGHT} * {prior}) / (cl + {url.WEIGHT}) >= {url.PURITY}),
-shapes AS (SELECT host, {given} FROM l{url.DEPTH} JOIN rejected USING (host, {tree}))
-SELECT page_id, shaped.host, path, rule, coalesce(label, CASE WHEN shapes.host IS NOT NULL THEN 'block' END, 'allow') AS verdict
-FROM shaped LEFT JOIN shapes USING (host, {given})
+         list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: regexp_replace(s, '[0-9]+', '#', 'g')) AS shape FROM hosts
+), tree AS (
+  SELECT host, shape, count(*) AS n, count(label) AS nl, count(*) FILTER (label = 'block') AS nb FROM judged WHERE host <> '' GROUP BY ALL
+), walk AS (
+  SELECT host, shape, shape[:0] AS t, shape AS rest FROM tree
+  UNION ALL
+  SELECT host, shape, list_append(t, CASE WHEN count(DISTINCT rest[1]) OVER (PARTITION BY host, t) > {url.FAN_OUT} THEN '*' ELSE rest[1] END), rest[2:]
+  FROM walk WHERE len(rest) > 0
+), ended AS (SELECT host, shape, t FROM walk WHERE len(rest) = 0),
+leaves AS (SELECT host, t, sum(n) AS n, sum(nl) AS nl, sum(nb) AS nb FROM tree JOIN ended USING (host, shape) GROUP BY ALL),
+places AS (
+  SELECT host, t, n, nl, nb, t[:d - 1] AS before, t[d + 1:] AS after, sum(n) OVER (PARTITION BY host, t[:d]) AS bn
+  FROM (SELECT *, unnest(range(1, len(t) + 1)) AS d FROM leaves)
+), pools AS (
+  SELECT *, count(*) OVER w AS leaves, sum(n) OVER w AS pn, sum(nl) OVER w AS pl, sum(nb) OVER w AS pb, sum(bn) OVER w AS pbn
+  FROM places WINDOW w AS (PARTITION BY host, before, after)
+), merged AS (
+  SELECT * FROM pools WHERE leaves > 1 AND pl > 0 AND {_alike("n", "bn", "pn", "pbn")} AND {_alike("nb", "nl", "pb", "pl")}
+), pooled AS (
+  SELECT host, t, n, nl, nb, sum(n) OVER w - n AS mn, sum(nl) OVER w - nl AS ml, sum(nb) OVER w - nb AS mb FROM merged WINDOW w AS (PARTITION BY host, before, after)
+), counted AS (
+  SELECT host, t, any_value(l.n) + coalesce(sum(mn), 0) AS n, any_value(l.nl) + coalesce(sum(ml), 0) AS nl, any_value(l.nb) + coalesce(sum(mb), 0) AS nb
+  FROM leaves l LEFT JOIN pooled USING (host, t) GROUP BY host, t
+), rejected AS (
+  SELECT host, t FROM counted WHERE nl >= {url.LABELS} AND nl >= {url.SEEN} * n AND (nb + {url.WEIGHT} * {prior}) / (nl + {url.WEIGHT}) >= {url.PURITY}
+), shapes AS (SELECT host, shape FROM ended JOIN rejected USING (host, t))
+SELECT page_id, judged.host, path, rule, coalesce(label, CASE WHEN shapes.host IS NOT NULL THEN 'block' END, 'allow') AS verdict
+FROM judged LEFT JOIN shapes USING (host, shape)
 """
 
 

@@ -2,12 +2,15 @@
 
 Per host, paths form a tree of segments. Digit runs become ``#``; where a
 node has more than ``FAN_OUT`` different children they become one wildcard.
-Branches of a node, at any level, with the same shape below are pooled;
-those of at least ``LABELS`` labels whose share of blocked ones does not
-differ from the pool's (two-sided test of a proportion) are merged. A
-template is rejected if its smoothed share of blocked labels reaches
-``PURITY`` on at least ``LABELS`` labels. Labels are the verdicts of the
-rules that fit a url, plus any that are given.
+Leaves of the tree that differ in one segment alone, at any level, are
+siblings. A leaf is merged with its siblings where two tests of proportions
+find no difference from the others together: its share of the urls of its
+branch (so branches must be built alike, be they labelled or not), and, if
+both sides have labels, its share of blocked ones. A template is rejected if,
+with what it is merged with, it has at least ``LABELS`` labels, these are at
+least ``SEEN`` of its urls, and the smoothed share of blocked ones reaches
+``PURITY``. Labels are the verdicts of the rules that fit a url, plus any
+that are given; merging carries them to urls that no rule fits.
 
 Everything after the first aggregation works on distinct templates, which
 digits and wildcards keep few; a host with a third of all urls costs no
@@ -37,8 +40,9 @@ RULES = [
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 ]
-#: DEPTH serves the SQL twin alone, which takes further segments as one; here paths have their real depth.
-DEPTH, FAN_OUT, LABELS, PURITY, WEIGHT, DIFFERENT = 4, 20, 3, 0.8, 2.0, 1.96
+#: Children of a node that is no wildcard at most, least labels, least share of labelled urls, least purity,
+#: weight of the prior in it, and standard deviations beyond which proportions differ.
+FAN_OUT, LABELS, SEEN, PURITY, WEIGHT, DIFFERENT = 20, 3, 0.2, 0.8, 2.0, 1.96
 
 
 def split_url(urls: DataFrame, column: str = "url") -> DataFrame:
@@ -103,24 +107,37 @@ def _generalise(tree: DataFrame) -> DataFrame:
         todo = more.join(wide, node, "left").select(*given, F.concat("template", F.array(F.coalesce("star", "next"))).alias("template"), "rest")
 
 
+def _alike(part: Column, of: Column, all_parts: Column, all_of: Column) -> Column:
+    """Whether the proportion part / of differs from that of the rest, two-sided; true where either has no cases."""
+    rest, rest_of, share = all_parts - part, all_of - of, all_parts / all_of
+    gap = F.abs(part / of - rest / rest_of)
+    return (of == 0) | (rest_of == 0) | (gap <= DIFFERENT * F.sqrt(share * (1 - share) * (1 / of + 1 / rest_of)) + 1e-9)
+
+
+COUNTS = ("n", "n_labelled", "n_blocked")
+
+
 def _merge(leaves: DataFrame) -> DataFrame:
-    """host, leaf, more_labelled, more_blocked: what the branches merged with a leaf add to its labels.
+    """host, leaf, more_n, more_n_labelled, more_n_blocked: what the siblings merged with a leaf add to it.
 
-    A leaf is compared with its siblings at each level: the leaves whose
-    templates differ from its own in that segment alone, FAN_OUT at most.
-    Siblings of different levels differ, so no label is added twice.
+    Siblings of different levels differ, so nothing is added twice; a node
+    has FAN_OUT children at most, so a leaf has few.
     """
-    around = F.concat(F.slice("template", F.lit(1), F.col("d")), F.array(F.lit("")), F.slice("template", F.col("d") + 2, F.size("template")))
-    places = leaves.where("n_labelled > 0").select("host", "leaf", "n_labelled", "n_blocked", "template", F.posexplode("template").alias("d", "own"))
-    places = places.select("host", "leaf", "n_labelled", "n_blocked", F.sha2(F.array_join(around, "/"), 256).alias("pool"))
+    upto, below = F.slice("template", F.lit(1), F.col("d")), F.slice("template", F.col("d") + 2, F.size("template"))
+    key = lambda *parts: F.sha2(F.array_join(F.concat(*parts), "/"), 256)
+    places = leaves.select("host", "leaf", *COUNTS, "template", F.posexplode("template").alias("d", "own")).select(
+        "host", "leaf", *COUNTS, key(upto, F.array(F.lit("")), below).alias("pool"), key(upto, F.array("own")).alias("branch")
+    )
+    branches = places.groupBy("host", "branch").agg(F.sum("n").alias("branch_n"))
+    places = written(places.join(branches, ["host", "branch"]).drop("branch"), "siblings")
     pool = ["host", "pool"]
-    pools = places.groupBy(*pool).agg(F.sum("n_labelled").alias("pool_labelled"), F.sum("n_blocked").alias("pool_blocked"))
-    share = F.col("pool_blocked") / F.col("pool_labelled")
-    gap = F.abs(F.col("n_blocked") / F.col("n_labelled") - share)
-    alike = gap <= DIFFERENT * F.sqrt(share * (1 - share) / F.col("n_labelled")) + 1e-9
-    merged = places.join(pools, pool).where((F.col("n_labelled") >= LABELS) & alike).select(*places.columns)
-    pooled = merged.groupBy(*pool).agg(F.count("*").alias("branches"), *(F.sum(c).alias(f"all_{c}") for c in ("n_labelled", "n_blocked")))
-    added = (F.sum(F.col(f"all_n_{c}") - F.col(f"n_{c}")).alias(f"more_{c}") for c in ("labelled", "blocked"))
+    pools = places.groupBy(*pool).agg(F.count("*").alias("leaves"), *(F.sum(c).alias(f"pool_{c}") for c in (*COUNTS, "branch_n")))
+    built_alike = _alike(F.col("n"), F.col("branch_n"), F.col("pool_n"), F.col("pool_branch_n"))
+    judged_alike = _alike(F.col("n_blocked"), F.col("n_labelled"), F.col("pool_n_blocked"), F.col("pool_n_labelled"))
+    told = pools.where("leaves > 1 AND pool_n_labelled > 0")
+    merged = written(places.join(told, pool).where(built_alike & judged_alike).select(*places.columns), "merged")
+    pooled = merged.groupBy(*pool).agg(F.count("*").alias("branches"), *(F.sum(c).alias(f"all_{c}") for c in COUNTS))
+    added = (F.sum(F.col(f"all_{c}") - F.col(c)).alias(f"more_{c}") for c in COUNTS)
     return merged.join(pooled.where("branches > 1"), pool).groupBy("host", "leaf").agg(*added)
 
 
@@ -143,13 +160,13 @@ def templates(labelled: DataFrame) -> DataFrame:
     whole = tree.agg(F.sum("n_labelled").alias("all_labelled"), F.sum("n_blocked").alias("all_blocked")).first()
     prior = ((whole["all_blocked"] or 0) + 1) / ((whole["all_labelled"] or 0) + 2)
     tree = _generalise(tree).withColumn("leaf", F.sha2(F.array_join("template", "/"), 256))
-    sums = [F.sum(c).alias(c) for c in ("n", "n_labelled", "n_blocked")]
-    leaves = written(tree.groupBy("host", "leaf").agg(F.first("template").alias("template"), *sums), "leaves")
-    counted, blocked = (F.col(f"n_{c}") + F.coalesce(f"more_{c}", F.lit(0)) for c in ("labelled", "blocked"))
-    purity = (blocked + WEIGHT * prior) / (counted + WEIGHT)
+    leaves = tree.groupBy("host", "leaf").agg(F.first("template").alias("template"), *(F.sum(c).alias(c) for c in COUNTS))
+    leaves = written(leaves, "leaves")
+    n, labelled, blocked = (F.col(c) + F.coalesce(f"more_{c}", F.lit(0)) for c in COUNTS)
+    purity = (blocked + WEIGHT * prior) / (labelled + WEIGHT)
     judged = leaves.join(_merge(leaves), ["host", "leaf"], "left").select(
-        "host", "leaf", F.col("more_labelled").isNotNull().alias("merged"), "n", "n_labelled", "n_blocked",
-        purity.alias("purity"), ((counted >= LABELS) & (purity >= PURITY)).alias("rejected"),
+        "host", "leaf", F.col("more_n").isNotNull().alias("merged"), *COUNTS, purity.alias("purity"),
+        ((labelled >= LABELS) & (labelled >= SEEN * n) & (purity >= PURITY)).alias("rejected"),
     )
     return tree.select("host", "shape", "template", "leaf").join(judged, ["host", "leaf"]).drop("leaf")
 

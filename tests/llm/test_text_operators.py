@@ -401,6 +401,18 @@ def test_branches_merge_at_every_level(spark):
     assert {v for i, v in found.items() if i < 100} == {"block"} and {v for i, v in found.items() if i >= 100} == {"allow"}
 
 
+def test_labels_reach_siblings_built_alike_alone(spark):
+    urls = [(i, f"x://h.org/en/{i}") for i in range(30)] + [(100 + i, f"x://h.org/fr/{i}.html") for i in range(10)]
+    urls += [(200 + i, f"x://h.org/de/{i}") for i in range(10)] + [(300 + i, f"x://h.org/api/{i}/raw") for i in range(10)]
+    urls += [(400 + i, f"x://i.org/de/{i}") for i in range(40)] + [(500, "x://i.org/en/1"), (501, "x://i.org/en/2"), (502, "x://i.org/en/3")]
+    rows = spark.createDataFrame(urls + urls[:3], "page_id long, url string")
+    labels = spark.createDataFrame([(i, "block") for i in range(30)] + [(i, "block") for i in (500, 501, 502)], "page_id long, label string")
+    found = {r["page_id"]: r["verdict"] for r in url_filter.judge(rows, labels=labels).collect()}
+    assert {found[200 + i] for i in range(10)} == {"block"}  # /de/# goes with /en/#
+    assert {found[100 + i] for i in range(10)} == {found[300 + i] for i in range(10)} == {"allow"}  # other endings do not
+    assert {found[400 + i] for i in range(40)} == {"allow"}  # three labels say little of 40 urls
+
+
 # chats
 
 
