@@ -459,7 +459,7 @@ def test_license_base_by_hand(spark, sf, odd):
 
 
 def test_license_passages(spark, none):
-    _, mit, _ = license_scan.PASSAGES[0]
+    _, mit, _ = license_scan.TEMPLATES[0]
     broken = mit.replace("free of charge", "for a fee")
     rows = docs_of(spark, [(1, "intro " + mit.title() + " outro", None), (2, broken, None), (3, " ".join(reversed(mit.split())), None)])
     found = {r["doc_id"]: r for r in license_scan.scan(rows).collect()}
@@ -468,6 +468,74 @@ def test_license_passages(spark, none):
     assert license_scan.scan(none).count() == 0
 
 
+def in_order(words, template):
+    """Length of the longest common subsequence, by table."""
+    row = [0] * (len(template) + 1)
+    for w in words:
+        new = [0]
+        for j, t in enumerate(template):
+            new.append(row[j] + 1 if w == t else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def license_by_hand(text):
+    """Labels and score without index, votes or frequencies: every mandatory phrase at every word."""
+    w = words(text)
+    labels = {label for phrase, label in license_scan.BASE for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()}
+    score = 1.0 if labels else 0.0
+
+    def holds(part, phrase, put_in):
+        wanted = iter(part[: len(phrase) + put_in])
+        return part[:1] == phrase[:1] and all(any(x == p for x in wanted) for p in phrase)
+
+    for label, template, keys in license_scan.TEMPLATES:
+        put_in, template = 2 if keys else 0, template.split()
+        keys = [k.split() for k in keys] or [template]
+        before = " ".join(template).split(" ".join(keys[0]))[0].count(" ")
+        after = len(template) - before
+        for at in range(len(w)):
+            if not holds(w[at:], keys[0], put_in):
+                continue
+            here = w[max(0, at - before - before // 2) : at + after + after // 2 + 2]
+            share = in_order(here, template) / len(template)
+            if share >= 0.5 and all(any(holds(here[i:], k, put_in) for i in range(len(here))) for k in keys):
+                labels.add(label)
+                score = max(score, share)
+    return sorted(labels), score
+
+
+def test_license_labels_by_hand(spark, sf, odd, none):
+    rng = random.Random(8)
+    common = "the of and to in for a this is software license any under".split()
+    texts = []
+    for label, template, _ in license_scan.TEMPLATES:
+        t = template.split()
+        texts.append(" ".join(rng.choices(common, k=40) + t + rng.choices(common, k=30)).title())
+        texts.append(" ".join(x for i, w in enumerate(t) for x in ([w, "dnl"] if i % 8 == 7 else [w])))  # a mark in each line
+        texts.append(" ".join(w for w in t if rng.random() < 0.8))
+        texts.append(" ".join(w if rng.random() < 0.7 else rng.choice(common) for w in t) + " " + " ".join(t[: len(t) // 2]))
+        texts.append(" ".join(reversed(t)))
+    texts += [" ".join(texts), "Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: Apache-2.0", "bsd style license"]
+    rows = docs_of(spark, [(i, t, None) for i, t in enumerate(texts)])
+    for table in (rows, sf, odd):
+        wanted = sorted((str(r["doc_id"]), *license_by_hand(r["text"])) for r in table.select("doc_id", "text").collect())
+        assert sorted((str(r["doc_id"]), r["labels"], r["score"]) for r in license_scan.scan(table).collect()) == wanted
+    found = {r["doc_id"]: r for r in license_scan.scan(rows).collect()}
+    for n, (label, _, keys) in enumerate(license_scan.TEMPLATES):
+        assert label in found[5 * n]["labels"] and found[5 * n]["score"] == 1.0
+        assert not keys or label in found[5 * n + 1]["labels"], label
+    assert found[len(texts) - 3]["labels"] == ["cc-by", "cc-by-nc"] and found[len(texts) - 2]["labels"] == ["apache-2.0"]
+    assert found[len(texts) - 1]["labels"] == [] and license_scan.scan(none).count() == 0
+
+
+def test_license_words_of_equal_frequency(spark):
+    """Ties are taken in alphabetical order; whichever words are looked up, the labels are the same."""
+    _, mit, _ = license_scan.TEMPLATES[0]
+    table = docs_of(spark, [(i, mit, None) for i in range(3)])
+    assert [tuple(r) for r in license_scan.scan(table).select("labels", "score").collect()] == [(["mit"], 1.0)] * 3
+
+
 # near duplicates
 
 
