@@ -79,6 +79,23 @@ def held_out(id_column: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string")) % folds == 0, F.lit(False))
 
 
+#: Rows to drop up to which their keys are broadcast; a key is two numbers or a number and a short id.
+BROADCAST_ROWS = 500_000
+
+
+def drop_marked(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id and xxhash64 of text stand in marked (doc_id, text_hash); same columns.
+
+    Mostly few rows are marked: their keys are broadcast where a count shows that they fit, so that no text is shuffled.
+    """
+    its_id, its_hash = free_name(docs, "quarry_doc_id"), free_name(docs, "quarry_text_hash")
+    keys = written(marked, "marked").toDF(its_id, its_hash)
+    if keys.count() <= BROADCAST_ROWS:
+        keys = F.broadcast(keys)
+    same = docs["doc_id"].eqNullSafe(F.col(its_id)) & (F.xxhash64(docs["text"]) == F.col(its_hash))
+    return docs.join(keys, same, "left_anti")
+
+
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

@@ -1,219 +1,317 @@
 """Benchmark decontamination over a positional inverted index.
 
-The index is partitioned by document: each row of the corpus becomes one
-row of postings (terms with the word positions at which they stand), so
-that offset-adjusted lists are intersected where they lie and no posting is
-shuffled; a passage that a third of all rows hold costs no task more than
-its rows. It is written to the shared folder and read twice: once to count
-in how many documents each term stands, once to match. A window of
-consecutive item words starts from its rarest term, and lists are
-intersected in order of rising frequency until none is left or all words
-agree (an exact phrase). A window whose rarest terms merely stand near each
-other is a proximity match.
-
-Only terms of the items get postings. The items are held by every task, so
-they are taken in blocks of bounded size; with more than one block the
-matches of a row are merged by the row's id and text.
+``index`` builds the index of a corpus, which knows nothing of benchmarks
+and can be kept for any number of them. It is partitioned by documents: a
+segment is some consecutive documents, with a sorted dictionary of their
+terms and the postings of each term, positions that count on through all
+documents of the segment. So no posting is shuffled, and a passage that a
+third of all rows hold costs no task more than its rows.
+
+``match`` looks windows of consecutive item words up. Document frequencies
+of the items' terms are read from the dictionaries; every window starts
+from the postings of its rarest term, and those of its other terms, by
+rising frequency and adjusted by their offsets, are intersected until none
+is left or all agree (an exact phrase). A window whose rarest terms merely
+stand near each other is a proximity match. Windows with a term that a
+segment lacks are not looked up there. All windows of a segment go through
+these steps together, as arrays, in pieces of bounded size.
+
+The items are held by every task, so they are taken in blocks of bounded
+size, each a pass over the index; with more than one block the matches of a
+document are merged by its place in the index.
 
 Defined cases: a null or empty text has no words and no hits. Items with a
 null id, a null text or no word are ignored; an item id given twice has
-the windows of both texts. Very long documents are indexed whole. Repeated
-rows each give a row. With no items nothing is hit. Empty input gives an
-empty result. Other columns are ignored.
+the windows of both texts. Very long documents are indexed whole, in a
+segment of their own. Repeated rows each give a row. With no items nothing
+is hit. Empty input gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_bytes, free_name, share, slices, words_of, written
+from quarry.llm.common import as_bytes, drop_marked, share, slices, small_batches, words_of, written
 
-#: Characters of items that one pass over the corpus takes.
-BLOCK_CHARS = 8_000_000
+#: Bytes of texts of a segment, unless one text has more, and characters of items that one pass over the index takes.
+SEGMENT_BYTES, BLOCK_CHARS = 2_000_000, 8_000_000
 #: Distinct terms of a window that must stand near each other for a proximity match.
 NEAR_TERMS = 3
-#: Documents to drop up to which their keys are broadcast.
-BROADCAST_ROWS = 500_000
-
-
-class Windows:
-    """The windows of some items as term numbers, with their items."""
-
-    def __init__(self, items: list[tuple[str, bytes]], length: int):
-        self.terms: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
-        for item, text in items:
-            row = [self.terms.setdefault(w, len(self.terms)) for w in words_of(text)]
-            size = min(length, len(row))
-            for i in range(len(row) - size + 1 if row else 0):
-                owners[tuple(row[i : i + size])].add(item)
-        self.windows = sorted(owners)
-        self.items = [sorted(owners[w]) for w in self.windows]
-
-    def plan(self, frequency: dict[int, int]) -> dict[int, list[tuple[int, list[tuple[int, int]]]]]:
-        """Windows by their rarest term: (window, its (term, offset) pairs from the rarest up)."""
-        by_term: dict[int, list[tuple[int, list[tuple[int, int]]]]] = defaultdict(list)
-        for k, window in enumerate(self.windows):
-            order = sorted(((t, i) for i, t in enumerate(window)), key=lambda p: (frequency.get(p[0], 0), p[0], p[1]))
-            by_term[order[0][0]].append((k, order))
-        return dict(by_term)
-
-
-def index(docs: DataFrame, terms: dict[bytes, int]) -> DataFrame:
-    """doc_id, text_hash, n_words, postings of every row; postings are packed by _pack()."""
-    shared = share(docs, terms)
+#: Places, and windows, that are looked at together.
+PIECE, ROWS = 1 << 20, 1 << 16
+
+
+def _segment(part: pa.RecordBatch) -> dict:
+    """Columns of a segment of rows doc_id, text_hash, text."""
+    texts, dictionary, numbers, sizes = as_bytes(part.column(2)), {}, [], []
+    for text in texts:
+        words = words_of(text)
+        sizes.append(len(words))
+        numbers.append(np.fromiter((dictionary.setdefault(w, len(dictionary)) for w in words), np.int32, len(words)))
+    ranked = sorted(dictionary)
+    rank = np.empty(len(ranked), np.int32)
+    rank[[dictionary[w] for w in ranked]] = np.arange(len(ranked), dtype=np.int32)
+    terms = rank[np.concatenate(numbers)] if dictionary else np.zeros(0, np.int32)
+    places = np.argsort(terms, kind="stable").astype(np.int32)
+    ends = np.cumsum(np.bincount(terms, minlength=len(ranked)))
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    pairs = np.unique(terms.astype(np.int64) * len(texts) + owner) // max(1, len(texts))
+    return {
+        "doc_ids": part.column(0),
+        "text_hashes": part.column(1),
+        "n_words": sizes,
+        "terms": ranked,
+        "documents": np.bincount(pairs, minlength=len(ranked)),
+        "ends": ends,
+        "postings": zstandard.ZstdCompressor(level=1).compress(np.diff(places, prepend=np.int32(0)).tobytes()),
+    }
+
+
+def index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """A row for each segment: its documents, its sorted terms (UTF-8), the documents and the end of the postings of each, and packed postings."""
     kind = dict(docs.dtypes)["doc_id"]
 
+    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        size = np.cumsum([len(t) if t else 0 for t in as_bytes(batch.column(2))])
+        lo = 0
+        while lo < batch.num_rows:
+            start = size[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(size, start + segment_bytes, side="right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, squeeze = shared.value, zstandard.ZstdCompressor(level=1).compress
+        made_here = 0
         for batch in batches:
-            for part in slices(batch, 128):
-                n_words, postings = [], []
-                for text in as_bytes(part.column(2)):
-                    words = words_of(text)
-                    n_words.append(len(words))
-                    at = np.fromiter(map(numbers.get, words, repeat(-1)), np.int32, len(words))
-                    where = np.flatnonzero(at >= 0)
-                    where = where[np.argsort(at[where], kind="stable")]
-                    ranked = at[where]
-                    last = np.flatnonzero(np.append(ranked[1:] != ranked[:-1], True)) if len(ranked) else where
-                    postings.append(squeeze(_pack(ranked[last], last + 1, where)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(n_words, pa.int64()), pa.array(postings, pa.binary())],
-                    names=["doc_id", "text_hash", "n_words", "postings"],
-                )
-
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, text_hash bigint, n_words bigint, postings binary")
-
-
-def _pack(terms: np.ndarray, ends: np.ndarray, places: np.ndarray) -> bytes:
-    """Bytes of: the number of terms, the terms, the end of each one's places, and all places as steps from the one before."""
-    return np.concatenate([[len(terms)], terms, ends, np.diff(places, prepend=0)]).astype(np.int32).tobytes()
-
+            for part in parts(batch):
+                made = _segment(part)
+                segment, made_here = f"{TaskContext.get().partitionId()}-{made_here}", made_here + 1
+                lists = [("doc_ids", part.schema.field(0).type), ("text_hashes", pa.int64()), ("n_words", pa.int32()), ("terms", pa.binary()), ("documents", pa.int32()), ("ends", pa.int32())]
+                arrays = [pa.array([segment])]
+                for name, of in lists:
+                    values = made[name] if isinstance(made[name], pa.Array) else pa.array(made[name], of)
+                    arrays.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(of)))
+                arrays.append(pa.array([made["postings"]], pa.binary()))
+                yield pa.RecordBatch.from_arrays(arrays, names=["segment", *(name for name, _ in lists), "postings"])
+
+    rows = small_batches(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(
+        run,
+        f"segment string, doc_ids array<{kind}>, text_hashes array<bigint>, n_words array<int>, terms array<binary>, documents array<int>, ends array<int>, postings binary",
+    )
 
-def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """terms, ends and places: the places of terms[i] are places[ends[i-1]:ends[i]]."""
-    flat = np.frombuffer(raw, np.int32)
-    n = int(flat[0])
-    return flat[1 : n + 1], flat[n + 1 : 2 * n + 1], np.cumsum(flat[2 * n + 1 :])
 
+class Windows:
+    """The windows of some items: an array of term numbers, a row for each window, -1 beyond the end of a short one."""
 
-def document_frequency(postings: DataFrame) -> dict[int, int]:
-    """In how many rows each term stands."""
+    def __init__(self, items: list[tuple[str, bytes]], length: int):
+        numbers: dict[bytes, int] = {}
+        named: dict[str, int] = {}
+        rows, owners = [np.zeros((0, length), np.int32)], [np.zeros(0, np.int32)]
+        for item, text in items:
+            row = np.array([numbers.setdefault(w, len(numbers)) for w in words_of(text)], np.int32)
+            if not len(row):
+                continue
+            if len(row) < length:
+                row = np.append(row, np.full(length - len(row), -1, np.int32))
+            rows.append(np.lib.stride_tricks.sliding_window_view(row, length))
+            owners.append(np.full(len(rows[-1]), named.setdefault(item, len(named)), np.int32))
+        ranked = sorted(numbers)
+        rank = np.full(len(ranked) + 1, -1, np.int32)
+        rank[[numbers[w] for w in ranked]] = np.arange(len(ranked), dtype=np.int32)
+        #: sorted, as the dictionaries of segments are
+        self.terms = ranked
+        self.items = list(named)
+        flat = rank[np.concatenate(rows)]
+        self.windows, which = np.unique(flat, axis=0, return_inverse=True) if len(flat) else (flat, np.zeros(0, int))
+        owned = np.unique(np.stack([which.ravel(), np.concatenate(owners)], axis=1), axis=0)
+        #: items of window k: owner[owner_ends[k - 1] : owner_ends[k]]
+        self.owner, self.owner_ends = owned[:, 1].astype(np.int32), np.cumsum(np.bincount(owned[:, 0], minlength=len(self.windows)))
+        self.sizes = (self.windows >= 0).sum(1).astype(np.int32)
+        self.order = np.zeros(self.windows.shape, np.int8)
+
+    def rank_by(self, frequency: np.ndarray) -> None:
+        """Sets the order of offsets, those of rare terms first, and the different terms of each window that are rarest."""
+        _, rank = np.unique(frequency, return_inverse=True)
+        rank = np.append(rank, len(frequency)).astype(np.int32)  # -1, beyond the end of a window, comes last
+        self.rare = np.full((len(self.windows), NEAR_TERMS), -1, np.int32)
+        for at in range(0, len(self.windows), ROWS):
+            windows = self.windows[at : at + ROWS]
+            order = np.argsort(rank[windows], axis=1, kind="stable")
+            self.order[at : at + ROWS] = order
+            ranked, rare = np.take_along_axis(windows, order, axis=1), self.rare[at : at + ROWS]
+            found = np.zeros(len(ranked), np.int64)
+            for k in range(ranked.shape[1]):
+                term = ranked[:, k]
+                fresh = (term >= 0) & (found < NEAR_TERMS) & ~(rare == term[:, None]).any(1)
+                rare[fresh, found[fresh]] = term[fresh]
+                found += fresh
+
+    def items_of(self, k: int) -> list[str]:
+        return [self.items[i] for i in self.owner[self.owner_ends[k - 1] if k else 0 : self.owner_ends[k]]]
+
+
+def document_frequency(segments: DataFrame, terms: list[bytes]) -> np.ndarray:
+    """In how many documents each of the terms stands, read from the dictionaries of all segments."""
+    shared = share(segments, terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor().decompress
+        wanted = pa.array(shared.value, pa.binary())
+        counts = np.zeros(len(wanted), np.int64)
         for batch in batches:
-            held = [_unpack(expand(raw))[0] for part in slices(batch) for raw in part.column(0).to_pylist()]
-            terms, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int32()), pa.array(counts, pa.int64())], names=["term", "n"])
+            for row in range(batch.num_rows):
+                at = pa.compute.index_in(wanted, batch.column(0)[row].values)
+                known = np.flatnonzero(at.is_valid())
+                counts[known] += batch.column(1)[row].values.to_numpy()[at.to_numpy(zero_copy_only=False)[known].astype(int)]
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some])], names=["term", "n"])
 
-    rows = postings.select("postings").mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    return {r["term"]: r["n"] for r in rows.collect()}
+    out = np.zeros(len(terms), np.int64)
+    if terms:
+        rows = segments.select("terms", "documents").mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        out[rows.column("term").to_numpy()] = rows.column("n").to_numpy()
+    return out
 
 
 class Matcher:
-    def __init__(self, windows: list[tuple[int, ...]], items: list[list[str]], plan: dict, slop: int):
-        self.windows, self.items, self.plan, self.slop = windows, items, plan, slop
-
-    def __call__(self, terms: np.ndarray, ends: np.ndarray, places: np.ndarray) -> tuple[list[tuple[int, int, int]], set[int]]:
-        """(window, start, length) of exact matches, and the windows with proximity matches only."""
-        lists: dict[int, np.ndarray] = {}
-        spans = {int(t): (int(ends[i - 1]) if i else 0, int(ends[i])) for i, t in enumerate(terms)}
-
-        def of(term: int) -> np.ndarray:
-            if term not in lists:
-                lo, hi = spans[term]
-                lists[term] = places[lo:hi]
-            return lists[term]
-
-        exact, near = [], set()
-        for term in spans.keys() & self.plan.keys():
-            for k, order in self.plan[term]:
-                starts = None
-                for t, offset in order:
-                    if t not in spans:
-                        starts = None
-                        break
-                    here = of(t)
-                    if starts is None:
-                        starts = here - offset
-                    else:
-                        wanted = starts + offset
-                        at = np.searchsorted(here, wanted)
-                        starts = starts[(at < len(here)) & (here[np.minimum(at, len(here) - 1)] == wanted)]
-                    if not len(starts):
-                        break
-                if starts is not None and len(starts):
-                    exact += [(k, int(s), len(self.windows[k])) for s in starts]
-                elif self._near(order, spans, of):
-                    near.add(k)
-        return exact, near
-
-    def _near(self, order: list[tuple[int, int]], spans: dict, of) -> bool:
-        rarest = list(dict.fromkeys(t for t, _ in order))[:NEAR_TERMS]
-        if len(rarest) < 2 or any(t not in spans for t in rarest):
-            return False
-        close = of(rarest[0])
-        for t in rarest[1:]:
-            here = of(t)
-            at = np.searchsorted(here, close - self.slop)
-            close = close[(at < len(here)) & (here[np.minimum(at, len(here) - 1)] <= close + self.slop)]
-            if not len(close):
-                return False
-        return True
-
-
-def _covered(matches: list[tuple[int, int, int]]) -> int:
-    total, upto = 0, 0
-    for _, start, length in sorted(matches, key=lambda m: m[1]):
-        end = start + length
-        total += max(0, end - max(start, upto))
-        upto = max(upto, end)
-    return total
-
-
-def _match_block(docs: DataFrame, items: list[tuple[str, bytes]], length: int, slop: int, name: str) -> DataFrame:
+    """Windows against one segment after the other."""
+
+    def __init__(self, windows: Windows, slop: int):
+        self.of, self.slop = windows, slop
+        self.wanted = pa.array(windows.terms, pa.binary())
+
+    def __call__(self, terms: pa.Array, ends: np.ndarray, places: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(document, window, first word) of exact matches and (document, window) of mere proximity, as rows of two arrays."""
+        starts_of = np.concatenate([[0], np.cumsum(n_words)]).astype(np.int64)
+        at = pa.compute.index_in(self.wanted, terms)
+        local = np.where(at.is_valid().to_numpy(zero_copy_only=False), at.fill_null(0).to_numpy(), -1).astype(np.int32)
+        self.local = np.append(local, np.int32(-2))  # terms of the segment: -1 is missing, -2 is beyond the end of the window
+        windows, order, rarest = self.of.windows, self.of.order, self.of.rare
+        self.begin = np.append(0, ends).astype(np.int64)
+        self.size = len(places) + 1
+        term_of = np.repeat(np.arange(len(ends), dtype=np.int64), np.diff(self.begin))
+        self.posted = term_of * self.size + places  # sorted
+        self.places = places.astype(np.int64)
+        exact, near = [np.zeros((0, 3), np.int64)], [np.zeros((0, 2), np.int64)]
+        for row in range(0, len(windows), ROWS):
+            here = slice(row, row + ROWS)
+            whole = row + np.flatnonzero((self.local[windows[here]] != -1).all(1))
+            for some in self._pieces(whole, self.local[windows[whole, order[whole, 0]]]):
+                exact.append(self._phrases(some, starts_of))
+            close = row + np.flatnonzero((self.local[rarest[here]] != -1).all(1) & (rarest[here, 1] >= 0))
+            for some in self._pieces(close, self.local[rarest[close, 0]]):
+                near.append(self._near(some, starts_of))
+        exact, near = np.concatenate(exact), np.unique(np.concatenate(near), axis=0)
+        n = max(1, len(windows))
+        return exact, near[~np.isin(near[:, 0] * n + near[:, 1], exact[:, 0] * n + exact[:, 1])]
+
+    def _pieces(self, windows: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
+        """Windows in pieces whose first terms have about PIECE places."""
+        total = np.cumsum(self.begin[first + 1] - self.begin[first])
+        for piece in np.split(windows, np.flatnonzero(np.diff(total // PIECE)) + 1) if len(windows) else ():
+            yield piece
+
+    def _start(self, windows: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All places of the first terms of windows: (window, place)."""
+        counts = self.begin[first + 1] - self.begin[first]
+        ends = np.cumsum(counts)
+        at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts) + np.repeat(self.begin[first], counts)
+        return np.repeat(windows, counts), self.places[at]
+
+    def _phrases(self, windows: np.ndarray, starts_of: np.ndarray) -> np.ndarray:
+        terms, order = self.of.windows, self.of.order
+        which, place = self._start(windows, self.local[terms[windows, order[windows, 0]]])
+        start = place - order[which, 0]
+        for k in range(1, terms.shape[1]):
+            if not len(which):
+                break
+            offset = order[which, k].astype(np.int64)
+            term = self.local[terms[which, offset]].astype(np.int64)
+            key = term * self.size + start + offset
+            at = np.minimum(np.searchsorted(self.posted, key), len(self.posted) - 1)
+            kept = (term == -2) | ((start + offset >= 0) & (start + offset < self.size - 1) & (self.posted[at] == key))
+            which, start = which[kept], start[kept]
+        doc = np.searchsorted(starts_of, start, side="right") - 1
+        inside = (start >= 0) & (start + self.of.sizes[which] <= starts_of[np.minimum(doc + 1, len(starts_of) - 1)])
+        return np.stack([doc[inside], which[inside], start[inside] - starts_of[doc[inside]]], axis=1)
+
+    def _near(self, windows: np.ndarray, starts_of: np.ndarray) -> np.ndarray:
+        rare = self.of.rare
+        which, place = self._start(windows, self.local[rare[windows, 0]])
+        doc = np.searchsorted(starts_of, place, side="right") - 1
+        lo, hi = np.maximum(place - self.slop, starts_of[doc]), np.minimum(place + self.slop, starts_of[doc + 1] - 1)
+        kept = np.ones(len(which), bool)
+        for k in range(1, rare.shape[1]):
+            term = self.local[rare[which, k]].astype(np.int64)
+            at = np.minimum(np.searchsorted(self.posted, term * self.size + lo), len(self.posted) - 1)
+            kept &= (term < 0) | ((self.posted[at] >= term * self.size + lo) & (self.posted[at] <= term * self.size + hi))
+        return np.unique(np.stack([doc[kept], which[kept]], axis=1), axis=0)
+
+
+def covered(starts: np.ndarray, sizes: np.ndarray) -> int:
+    """Words inside any of the spans."""
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], (starts + sizes)[order]
+    upto = np.maximum.accumulate(np.append(0, ends))[:-1]
+    return int(np.maximum(0, ends - np.maximum(starts, upto)).sum())
+
+
+def _match_block(segments: DataFrame, items: list[tuple[str, bytes]], length: int, slop: int) -> DataFrame:
     windows = Windows(items, length)
-    postings = written(index(docs, windows.terms), f"index-{name}")
-    plan = windows.plan(document_frequency(postings))
-    shared = share(docs, (windows.windows, windows.items, plan, slop))
-    kind = dict(docs.dtypes)["doc_id"]
+    windows.rank_by(document_frequency(segments, windows.terms))
+    shared = share(segments, windows)
+    kind = segments.schema["doc_ids"].dataType.elementType.simpleString()
+    pair = pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int32()), ("length", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = Matcher(*shared.value)
-        expand = zstandard.ZstdDecompressor().decompress
-        for batch in (part for whole in batches for part in slices(whole)):
-            exact_rows, near_rows, covered = [], [], []
-            for raw in batch.column(3).to_pylist():
-                exact, near = match(*_unpack(expand(raw)))
-                listed = {i for k, _, _ in exact for i in match.items[k]}
-                covered.append(_covered(exact))
-                exact_rows.append([{"item_id": i, "start": s, "length": n} for k, s, n in sorted(exact) for i in match.items[k]])
-                near_rows.append(sorted({i for k in near for i in match.items[k]} - listed))
-            pair = pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int32()), ("length", pa.int32())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(covered, pa.int64()), pa.array(exact_rows, pair), pa.array(near_rows, pa.list_(pa.string()))],
-                names=["doc_id", "text_hash", "n_words", "n_hit", "exact", "near"],
-            )
-
-    return postings.mapInArrow(
+        windows = shared.value
+        match, expand = Matcher(windows, slop), zstandard.ZstdDecompressor().decompress
+        for row in (part for batch in batches for part in slices(batch, 1)):
+            column = {name: row.column(i)[0] for i, name in enumerate(row.schema.names)}
+            n_words = column["n_words"].values.to_numpy()
+            places = np.cumsum(np.frombuffer(expand(column["postings"].as_py()), np.int32))
+            exact, near = match(column["terms"].values, column["ends"].values.to_numpy(), places, n_words)
+            by_doc: dict[int, list] = defaultdict(list)
+            for doc, k, start in exact[np.lexsort((exact[:, 2], exact[:, 1], exact[:, 0]))].tolist():
+                by_doc[doc].append((k, start))
+            close: dict[int, list[int]] = defaultdict(list)
+            for doc, k in near.tolist():
+                close[doc].append(k)
+            n_hit, exact_rows, near_rows = [], [], []
+            for doc in range(len(n_words)):
+                found = by_doc.get(doc, ())
+                named = [(item, start, int(windows.sizes[k])) for k, start in found for item in windows.items_of(k)]
+                n_hit.append(covered(np.array([s for _, s in found], int), windows.sizes[[k for k, _ in found]]) if found else 0)
+                exact_rows.append([{"item_id": i, "start": s, "length": n} for i, s, n in named])
+                near_rows.append(sorted({i for k in close.get(doc, ()) for i in windows.items_of(k)} - {i for i, _, _ in named}))
+            for at in range(0, len(n_words), 512):
+                cut = slice(at, at + 512)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([column["segment"].as_py()] * len(n_words[cut])), pa.array(np.arange(len(n_words), dtype=np.int32)[cut]),
+                        column["doc_ids"].values[cut], column["text_hashes"].values[cut], pa.array(n_words[cut].astype(np.int64)),
+                        pa.array(n_hit[cut], pa.int64()), pa.array(exact_rows[cut], pair), pa.array(near_rows[cut], pa.list_(pa.string())),
+                    ],
+                    names=["segment", "place", "doc_id", "text_hash", "n_words", "n_hit", "exact", "near"],
+                )
+
+    return segments.select("segment", "doc_ids", "text_hashes", "n_words", "terms", "ends", "postings").mapInArrow(
         run,
-        f"doc_id {kind}, text_hash bigint, n_words bigint, n_hit bigint, exact array<struct<item_id:string,start:int,length:int>>, near array<string>",
+        f"segment string, place int, doc_id {kind}, text_hash bigint, n_words bigint, n_hit bigint, "
+        "exact array<struct<item_id:string,start:int,length:int>>, near array<string>",
     )
 
 
-def match(docs: DataFrame, items: DataFrame, length: int = 10, slop: int = 20, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, text_hash, n_words, n_hit, exact (item, first word, words) and near (items) of every row.
+def match_index(segments: DataFrame, items: DataFrame, length: int = 10, slop: int = 20, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """doc_id, text_hash, n_words, n_hit, exact (item, first word, words) and near (items) of every document of an index.
 
     Windows have ``length`` words, or all words of a shorter item. Terms that
     stand up to ``slop`` words from the rarest one are near it. Item ids come
@@ -227,15 +325,14 @@ def match(docs: DataFrame, items: DataFrame, length: int = 10, slop: int = 20, b
         part = known if blocks == 1 else known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         rows = part.toArrow()
         texts = zip(rows.column(0).to_pylist(), (t.encode() for t in rows.column(1).to_pylist()), strict=True)
-        found.append(_match_block(docs, list(texts), length, slop, str(k)))
+        found.append(_match_block(segments, list(texts), length, slop))
     if blocks == 1:
-        return found[0]
-    # a row's matches from all blocks; equal rows have equal matches and come back as often as they came
+        return found[0].drop("segment", "place")
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    merged = every.groupBy("doc_id", "text_hash", "n_words").agg(
-        F.count("*").alias("rows"),
+    merged = every.groupBy("segment", "place").agg(
+        *(F.first(c).alias(c) for c in ("doc_id", "text_hash", "n_words")),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("exact")))).alias("exact"),
         F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"),
     )
@@ -248,18 +345,14 @@ def match(docs: DataFrame, items: DataFrame, length: int = 10, slop: int = 20, b
         lambda a: a["n"],
     )
     near = F.array_sort(F.array_except("near", F.transform("exact", lambda m: m["item_id"])))
-    return (
-        merged.select("doc_id", "text_hash", "n_words", reach.alias("n_hit"), "exact", near.alias("near"), F.expr(f"explode(sequence(1, cast(rows div {blocks} as int)))").alias("copy"))
-        .drop("copy")
-    )
+    return merged.select("doc_id", "text_hash", "n_words", reach.alias("n_hit"), "exact", near.alias("near"))
+
+
+def match(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """match_index() over an index of docs that is written to the shared folder."""
+    return match_index(written(index(docs), "index"), items, **options)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """docs without the rows that hold a window of an item; same columns."""
-    hit = match(docs, items, **options).where("n_hit > 0").select("doc_id", "text_hash").distinct()
-    its_id, its_hash = free_name(docs, "quarry_doc_id"), free_name(docs, "quarry_text_hash")
-    marked = written(hit, "contaminated").toDF(its_id, its_hash)
-    if marked.count() <= BROADCAST_ROWS:
-        marked = F.broadcast(marked)
-    same = docs["doc_id"].eqNullSafe(F.col(its_id)) & (F.xxhash64(docs["text"]) == F.col(its_hash))
-    return docs.join(marked, same, "left_anti")
+    return drop_marked(docs, match(docs, items, **options).where("n_hit > 0").select("doc_id", "text_hash").distinct())

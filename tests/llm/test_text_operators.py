@@ -177,6 +177,49 @@ def test_proximity_and_filter(spark, none):
     assert decontamination.match(none, items).count() == 0
 
 
+def near_by_hand(texts, items, length, slop):
+    """Items of each text with a window whose three rarest terms stand near the rarest one, but not one exact window."""
+    docs = [words(t) for t in texts]
+    windows = {}
+    for item, passage in items:
+        row = words(passage)
+        n = min(length, len(row))
+        for i in range(len(row) - n + 1 if row else 0):
+            windows.setdefault(tuple(row[i : i + n]), set()).add(str(item))
+    out = []
+    for doc in docs:
+        exact, near = set(), set()
+        for window, owners in windows.items():
+            if any(tuple(doc[j : j + len(window)]) == window for j in range(len(doc))):
+                exact |= owners
+                continue
+            order = sorted(range(len(window)), key=lambda i: (sum(window[i] in d for d in docs), i))
+            rare = list(dict.fromkeys(window[i] for i in order))[:3]
+            places = [[j for j, w in enumerate(doc) if w == t] for t in rare]
+            if len(rare) > 1 and any(all(any(abs(i - j) <= slop for j in here) for here in places[1:]) for i in places[0]):
+                near |= owners
+        out.append(sorted(near - exact))
+    return out
+
+
+@pytest.mark.parametrize("segment_bytes", [1, 150, 2_000_000])
+def test_index_serves_many_benchmarks(spark, segment_bytes):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choices(vocabulary, weights=range(1, 31), k=rng.randint(0, 60))) for _ in range(40)] + [None, "w1 " * 500]
+    docs = docs_of(spark, [(i, t, None) for i, t in enumerate(texts)])
+    segments = decontamination.index(docs, segment_bytes).cache()
+    for seed in (1, 2):
+        rng = random.Random(seed)
+        items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(1, 9)))) for i in range(30)] + [(90, texts[3]), (91, "unknown words")]
+        table = spark.createDataFrame(items, "item_id long, text string")
+        found = {r["doc_id"]: r for r in decontamination.match_index(segments, table, length=4, slop=3).collect()}
+        near = near_by_hand([t or "" for t in texts], items, 4, 3)
+        for i, t in enumerate(texts):
+            assert (found[i]["n_words"], found[i]["n_hit"], sorted({m["item_id"] for m in found[i]["exact"]})) == by_hand(t, items, 4)
+            assert found[i]["near"] == near[i]
+
+
 # tokens
 
 PATH = queries.tokenizer_path()
