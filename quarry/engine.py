@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.functions.arithmetic import expr_column
@@ -11,10 +13,12 @@ from quarry.lang.parser import parse_expr, parse_query
 from quarry.operators import core
 from quarry.plans.planner import Node, Planner, show
 from quarry.plans.statistics import Statistics
+from quarry.sources.catalog import Relation, Settings, parse_catalog
+from quarry.sources.storage import NoTable, StoredTable, read_tbl
 
 
 class Tables(dict):
-    """DataFrames by name; a path is read when its table is first used."""
+    """DataFrames by name; a path is read, and a function called, when its table is first used."""
 
     def __init__(self, spark: SparkSession):
         super().__init__()
@@ -24,15 +28,37 @@ class Tables(dict):
         found = super().__getitem__(name)
         if isinstance(found, str):
             found = self[name] = self.spark.read.parquet(found)
+        elif callable(found):
+            found = self[name] = found()
         return found
 
 
+def _relation(spark: SparkSession, settings: Settings, relation: Relation) -> DataFrame:
+    try:
+        return StoredTable.open(spark, f"{settings.tables.rstrip('/')}/{relation.name}").scan()
+    except NoTable:
+        return read_tbl(spark, f"{settings.texts.rstrip('/')}/{relation.file}", relation.schema)
+
+
 class Engine:
     def __init__(self, spark: SparkSession, statistics: Statistics | None = None, precedence: str = "grammar", strict: bool = False):
         """precedence: grammar or standard, of arithmetic; strict: WHERE, aliases and equal types are mandatory."""
         self.spark, self.statistics, self.precedence, self.strict = spark, statistics, precedence, strict
         self.tables = Tables(spark)
 
+    @staticmethod
+    def of_settings(spark: SparkSession, path: str, **options) -> Engine:
+        """An engine over all relations of the catalog that a settings file names.
+
+        A relation is the stored table of its name in the tables folder, or, where there is none, its text.
+        """
+        whole = lambda file: spark.read.text(file, wholetext=True).first()["value"]
+        settings = Settings.parse(whole(path))
+        made = Engine(spark, **options)
+        for name, relation in parse_catalog(whole(settings.catalog)).items():
+            made.tables[name] = partial(_relation, spark, settings, relation)
+        return made
+
     def register(self, name: str, table: DataFrame | str) -> Engine:
         """table: a DataFrame or the path of a Parquet table."""
         self.tables[name] = table

@@ -7,13 +7,17 @@ broadcast, sums aggregate before the shuffle, sorts spill.
 
 from __future__ import annotations
 
+from typing import TextIO
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.functions.arithmetic import expr_column
 from quarry.functions.predicates import cnf_column, order_of
 from quarry.functions.scope import Scope, kind_of
 from quarry.lang.parser import parse_cnf, parse_expr
+from quarry.sources.scratch import new_folder
 
 
 def select_file(spark: SparkSession, path: str, cnf: str) -> DataFrame:
@@ -82,6 +86,21 @@ def sort(df: DataFrame, order: list[str] | str | None = None) -> DataFrame:
     return df.orderBy(*keys)
 
 
+def numbered(df: DataFrame, name: str = "place") -> DataFrame:
+    """Rows with their place, from 1, in the order in which df gives them out.
+
+    The rows are written with their partition and their number in it; only the partitions are counted up.
+    """
+    own = F.monotonically_increasing_id()
+    folder = f"{new_folder(df.sparkSession, 'numbered')}/rows"
+    df.select("*", F.shiftright(own, 33).alias("quarry_part"), own.bitwiseAND(F.lit((1 << 33) - 1)).alias("quarry_row")).write.parquet(folder)
+    rows = df.sparkSession.read.parquet(folder)
+    parts = rows.groupBy("quarry_part").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy("quarry_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("quarry_part", F.coalesce(upto, F.lit(0)).alias("before"))
+    return rows.join(F.broadcast(parts), "quarry_part").select(*df.columns, (F.col("before") + F.col("quarry_row") + 1).alias(name))
+
+
 def formatted(df: DataFrame, compat: bool = False) -> DataFrame:
     """One text column ``value``: ``name: [v], name: [v]`` of each row. compat: doubles with six significant digits."""
     parts = []
@@ -93,6 +112,15 @@ def formatted(df: DataFrame, compat: bool = False) -> DataFrame:
     return df.select(F.concat_ws(", ", *parts).alias("value"))
 
 
+def print_rows(df: DataFrame, out: TextIO | None = None, compat: bool = False) -> int:
+    """Console sink: a line for each row, in order, a partition in memory at a time. Returns the number of rows."""
+    lines = 0
+    for row in formatted(df, compat).toLocalIterator():
+        print(row["value"], file=out)
+        lines += 1
+    return lines
+
+
 def write_out(df: DataFrame, path: str, single_file: bool = False, compat: bool = False) -> None:
     """Text sink. single_file: all rows through one task, for small results."""
     lines = formatted(df, compat)

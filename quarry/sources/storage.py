@@ -1,14 +1,17 @@
 """Text loading and stored tables: heap (arrival order) and sorted.
 
-A stored table is a folder with Parquet versions and a small text of
-metadata that names the current one, all written by Spark, so that any
-store Spark reaches will do. Adding to a sorted table merges and writes the
-next version before the metadata moves on; a lost job leaves the old one.
+A stored table is a folder with Parquet versions and, for each version, a
+small text of metadata, all written by Spark, so that any store Spark
+reaches will do. The highest version whose metadata is complete is the
+table, so a job that is lost on the way leaves the one before. Rows added
+to a sorted table gather beside it, as sorted runs; the next read merges all
+of them with the table into its next version, however many adds there were.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +43,10 @@ def compose(spark: SparkSession, lines: list[str], schema: T.StructType) -> Data
     return spark.createDataFrame(rows, schema)
 
 
+class NoTable(ValueError):
+    """Nothing complete is stored at a path."""
+
+
 @dataclass
 class StoredTable:
     spark: SparkSession
@@ -50,15 +57,18 @@ class StoredTable:
 
     @staticmethod
     def create(spark: SparkSession, path: str, schema: T.StructType, order: list[str] | None = None) -> StoredTable:
-        """order: the sort keys of a sorted table; without them a heap."""
+        """order: the sort keys of a sorted table; without them a heap. A table that was there is replaced."""
         table = StoredTable(spark, path, schema, list(order or []))
-        spark.createDataFrame([], schema).write.mode("overwrite").parquet(table._data())
+        table.version = max(table._versions(), default=-1) + 1
+        spark.createDataFrame([], schema).write.parquet(table._data())
         table._save()
         return table
 
     @staticmethod
     def open(spark: SparkSession, path: str) -> StoredTable:
-        kind, version, schema, *order = spark.read.text(f"{path}/meta", wholetext=True).first()["value"].splitlines()
+        table = StoredTable(spark, path, T.StructType(), [])
+        table._to_latest()
+        kind, version, schema, *order = spark.read.text(f"{path}/meta-{table.version}", wholetext=True).first()["value"].splitlines()
         if kind not in ("heap", "sorted"):
             raise ValueError(f"{path} is a table of the unknown kind {kind}")
         return StoredTable(spark, path, T.StructType.fromJson(json.loads(schema)), order, int(version))
@@ -66,31 +76,82 @@ class StoredTable:
     def _data(self) -> str:
         return f"{self.path}/v{self.version}"
 
+    def _added(self) -> str:
+        return f"added-{self.version}"
+
+    def _store(self, name: str = ""):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _is_there(self, name: str) -> bool:
+        store, path = self._store(name)
+        return store.exists(path)
+
+    def _versions(self) -> list[int]:
+        """Versions that have anything, complete or not."""
+        store, path = self._store()
+        names = [status.getPath().getName() for status in store.listStatus(path)] if store.exists(path) else []
+        return sorted({int(found[1]) for n in names if (found := re.fullmatch(r"(?:v|meta-)(\d+)", n))})
+
+    def _to_latest(self) -> None:
+        """To the highest complete version, which may be another writer's."""
+        complete = [v for v in self._versions() if self._is_there(f"meta-{v}/_SUCCESS")]
+        if not complete:
+            raise NoTable(f"there is no table at {self.path}")
+        self.version = max(complete)
+
     def _save(self) -> None:
         lines = ["sorted" if self.order else "heap", str(self.version), self.schema.json(), *self.order]
-        self.spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/meta")
+        self.spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(f"{self.path}/meta-{self.version}")
+
+    def _rows(self, path: str) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(path)
 
     def add(self, rows: DataFrame) -> None:
+        """To a heap at its end; beside a sorted table, as a sorted run."""
         rows = rows.select(*self.schema.names)
-        if not self.order:
+        self._to_latest()
+        if self.order:
+            rows.sortWithinPartitions(*self.order).write.mode("append").parquet(f"{self.path}/{self._added()}")
+        else:
             rows.write.mode("append").parquet(self._data())
-            return
-        merged = self.spark.read.schema(self.schema).parquet(self._data()).unionByName(rows)
-        self.version += 1
-        merged.orderBy(*self.order).write.mode("overwrite").parquet(self._data())
-        self._save()
 
     def load(self, path: str) -> None:
+        """Adds the rows of a bar-separated text."""
         self.add(read_tbl(self.spark, path, self.schema))
 
+    def merge(self) -> None:
+        """Makes table and added rows the next version of a sorted table; nothing where nothing was added.
+
+        The version before stays, for readers that are still at it.
+        """
+        self._to_latest()
+        if not self.order or not self._is_there(self._added()):
+            return
+        merged = self._rows(self._data()).unionByName(self._rows(f"{self.path}/{self._added()}"))
+        before, self.version = self.version, max(self._versions()) + 1
+        try:
+            merged.orderBy(*self.order).write.parquet(self._data())
+            self._save()
+        except Exception:
+            self.version = before
+            raise
+        for old in self._versions():
+            if old not in (before, self.version):
+                for name in (f"v{old}", f"added-{old}", f"meta-{old}"):
+                    store, path = self._store(name)
+                    store.delete(path, True)
+
     def scan(self) -> DataFrame:
         """Rows, of a sorted table in order."""
-        df = self.spark.read.schema(self.schema).parquet(self._data())
+        self.merge()
+        df = self._rows(self._data())
         return df.orderBy(*self.order) if self.order else df
 
     def scan_where(self, cnf: str) -> DataFrame:
         """Rows that satisfy a predicate; on a sorted table its key prefix lets the scan skip row groups."""
-        df = self.spark.read.schema(self.schema).parquet(self._data())
+        self.merge()
+        df = self._rows(self._data())
         df = df.where(cnf_column(parse_cnf(cnf), Scope.of(df)))
         return df.orderBy(*self.order) if self.order else df
 
