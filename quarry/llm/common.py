@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.scratch import new_folder, remove
+
 #: Bytes of a lower-cased word of the contracts: digits, a-z and all of non-ASCII.
 #: Everything else becomes a space, A-Z become a-z, so bytes.split() gives the words.
 WORD_TABLE = bytes(
@@ -24,27 +24,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or a local one where unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = f"file://{tempfile.mkdtemp(prefix='quarry-scratch-')}"
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: lineage ends there.
 
-    Lost executors cost the reader nothing but a second read. The folders
-    are named by a random id and may be removed when the job has ended.
+    Lost executors cost the reader nothing but a second read. The folder
+    goes when the driver ends, or by forget().
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/quarry-{uuid.uuid4().hex}/{name}"
+    path = f"{new_folder(spark, name)}/rows"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Removes the folder of a table from written() that nothing will read any more."""
+    for file in df.inputFiles()[:1]:
+        remove(df.sparkSession, file[: file.index("/rows/")])
+
+
 #: Bytes of an Arrow batch that goes to a Python worker, where the session leaves it to the default.
 BATCH_BYTES = 8 * 1024 * 1024
 
@@ -83,17 +80,26 @@ def held_out(id_column: str = "doc_id", folds: int = 5) -> Column:
 BROADCAST_ROWS = 500_000
 
 
-def drop_marked(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id and xxhash64 of text stand in marked (doc_id, text_hash); same columns.
-
-    Mostly few rows are marked: their keys are broadcast where a count shows that they fit, so that no text is shuffled.
-    """
+def _by_marks(docs: DataFrame, marked: DataFrame, how: str) -> DataFrame:
     its_id, its_hash = free_name(docs, "quarry_doc_id"), free_name(docs, "quarry_text_hash")
-    keys = written(marked, "marked").toDF(its_id, its_hash)
+    keys = marked.toDF(its_id, its_hash)
     if keys.count() <= BROADCAST_ROWS:
         keys = F.broadcast(keys)
     same = docs["doc_id"].eqNullSafe(F.col(its_id)) & (F.xxhash64(docs["text"]) == F.col(its_hash))
-    return docs.join(keys, same, "left_anti")
+    return docs.join(keys, same, how)
+
+
+def drop_marked(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id and xxhash64 of text stand in marked (doc_id, text_hash, written()); same columns.
+
+    Mostly few rows are marked: their keys are broadcast where a count shows that they fit, so that no text is shuffled.
+    """
+    return _by_marks(docs, marked, "left_anti")
+
+
+def only_marked(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The rows that drop_marked() takes away."""
+    return _by_marks(docs, marked, "left_semi")
 
 
 def sha256_hex(data: bytes) -> str:

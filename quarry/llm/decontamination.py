@@ -355,4 +355,5 @@ def match(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """docs without the rows that hold a window of an item; same columns."""
-    return drop_marked(docs, match(docs, items, **options).where("n_hit > 0").select("doc_id", "text_hash").distinct())
+    hit = match(docs, items, **options).where("n_hit > 0").select("doc_id", "text_hash").distinct()
+    return drop_marked(docs, written(hit, "contaminated"))

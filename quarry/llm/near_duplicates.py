@@ -7,17 +7,21 @@ distance r differ by at most r in every coordinate, so pairs with a larger
 coordinate difference are discarded unseen and only survivors are compared
 bit by bit.
 
-To compare all pairs would be quadratic, so rows meet in partitions first:
-fingerprints that differ in 2 bits at most agree in two of four 16-bit
-blocks, and each of the six choices of two blocks is a partition key. No
-pair within reach is lost. A partition reports links that span its
-components, never all pairs. In partitions too large for a pairwise pass
-the same links come from shared neighbours: two fingerprints are within 2
-bits just when some value is within 1 bit of both. Partitions beyond one
-task's memory do that by a shuffle.
+A departure from the plain pivot table: it does not choose the candidates.
+Distances of random fingerprints lie close to 32, so one coordinate within
+2 keeps about half of all pairs, and a table alone would look at all pairs
+once. Rows meet in partitions first: fingerprints that differ in 2 bits at
+most agree in two of four 16-bit blocks, and each of the six choices of two
+blocks is a partition key. No pair within reach is lost. A partition
+reports links that span its components, never all pairs. In partitions too
+large for a pairwise pass the same links come from shared neighbours: two
+fingerprints are within 2 bits just when some value is within 1 bit of
+both. Partitions beyond one task's memory do that by a shuffle.
 
 Components come from alternating star contractions; every round is written
-to the shared folder.
+to the shared folder. Joins on a fingerprint or a node have one row of it on
+one side, so where the other side holds very many, adaptive execution
+splits them.
 
 Defined cases: a null or empty text, or one of white space, has the zero
 fingerprint, linked like any other. Fewer words than a shingle make one
@@ -37,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_bytes, free_name, slices, small_batches, written
+from quarry.llm.common import as_bytes, drop_marked, forget, only_marked, slices, small_batches, written
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 REACH = 2
@@ -204,19 +208,21 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """node, root of every node of the undirected edges a, b; root is the smallest node of its component."""
+    """node, root of every node of the undirected edges a, b; root is the smallest node of its component.
+
+    Rounds go on until one changes nothing.
+    """
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    state = None
-    for _ in range(100):
+    state, before = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()), None
+    while state != before:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        now = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        last, now = now, written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        forget(last)
         before, state = state, tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if state == before:
-            break
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
 
@@ -238,16 +244,20 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each component: that with the smallest doc_id, of several by text hash; same columns."""
-    found = _with_components(docs)
+    """One row of each component: that with the smallest doc_id, of several by text hash; same columns.
+
+    The keys of the rows to drop are collected, which are fewer than those that stay, and no text is shuffled for them.
+    """
+    found = written(_with_components(docs), "components")
     # the least (id, text hash) of a component; ids that are null come last
     order = F.struct(F.col("doc_id").isNull().alias("void"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
     group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
-    its_id, its_hash = free_name(docs, "quarry_doc_id"), free_name(docs, "quarry_text_hash")
-    first = found.groupBy(group.alias("group")).agg(F.min(order).alias("first")).select(
-        F.col("first.id").alias(its_id), F.col("first.hash").alias(its_hash)
-    )
-    same = docs["doc_id"].eqNullSafe(F.col(its_id)) & (F.xxhash64(docs["text"]) == F.col(its_hash))
-    kept = docs.join(first.distinct(), same, "left_semi")
-    repeated = found.groupBy("doc_id", "text_hash").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    first = found.groupBy(group.alias("group")).agg(F.min(order).alias("first")).select(F.col("first.id").alias("id"), F.col("first.hash").alias("hash"))
+    keys = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    marks = keys.join(first.withColumn("stays", F.lit(True)), keys["doc_id"].eqNullSafe(first["id"]) & (keys["text_hash"] == first["hash"]), "left")
+    marks = written(marks.select("doc_id", "text_hash", "rows", F.col("stays").isNotNull().alias("stays")).where("not stays or rows > 1"), "marks")
+    kept = drop_marked(docs, marks.where("not stays").select("doc_id", "text_hash"))
+    repeated = marks.where("stays").select("doc_id", "text_hash")
+    if repeated.isEmpty():
+        return kept
+    return drop_marked(kept, repeated).unionByName(only_marked(kept, repeated).dropDuplicates(["doc_id", "text"]))

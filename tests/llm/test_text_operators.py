@@ -614,6 +614,17 @@ def test_near_duplicates_by_brute_force(sf, odd, none):
     assert near_duplicates.components(none).count() == 0
 
 
+def test_near_duplicates_with_null_ids(spark, odd):
+    table = odd.union(docs_of(spark, [(None, "lonely words of nobody", None), (None, "the cat and the dog of the house", "en"), (None, None, None)]))
+    rows = [tuple(r) for r in table.select("doc_id", F.coalesce("text", F.lit(""))).collect()]
+    fps = [slow_fingerprint(t) for _, t in rows]
+    roots, least = slow_components(fps), {}
+    for (i, _), root in zip(rows, roots, strict=True):
+        least[root] = min((x for x in (i, least.get(root)) if x is not None), default=None)
+    wanted = sorted(str((i, f"{fp:016x}", least[root])) for (i, _), fp, root in zip(rows, fps, roots, strict=True))
+    assert sorted(str(tuple(r)) for r in near_duplicates.components(table).collect()) == wanted
+
+
 @pytest.mark.parametrize(("pairwise", "one_task"), [(2000, 200_000), (4, 200_000), (4, 8)])
 def test_all_ways_find_the_same_links(spark, monkeypatch, pairwise, one_task):
     rng = np.random.default_rng(5)
@@ -636,6 +647,7 @@ def test_all_ways_find_the_same_links(spark, monkeypatch, pairwise, one_task):
 def test_one_of_each_group_stays(odd):
     kept = near_duplicates.keep_first(odd)
     assert kept.columns == odd.columns
+    assert sorted((r["doc_id"] or 0) for r in near_duplicates.keep_first(odd.union(odd)).collect()) == [0, 1, 4, 5, 6, 7]
     # 1, 2 and 3 have no words, 5 is there twice, 6 and 8 are copies
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 4, 5, 6, 7]
 
