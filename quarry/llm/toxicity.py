@@ -2,7 +2,8 @@
 
 A word is the bag of its character n-grams (bytes of the lower-cased UTF-8,
 hashed to buckets). The vectors of the n-grams of a span of consecutive
-words are averaged and given to a linear softmax; vectors and softmax are
+words are averaged, a repeated word adding to the sum once but to the number
+each time, and given to a linear softmax; vectors and softmax are
 trained together by stochastic gradient descent in numpy. As n-grams are
 shared, a misspelling that was never seen still lies near its word. A
 document scores as its worst span, so that a long clean text cannot hide
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import share, slices
+from quarry.llm.common import share, slices, written
 
 ORDERS = (3, 4, 5, 6)
 BUCKETS = 1 << 17
@@ -82,6 +83,24 @@ def _grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(owners)
 
 
+_POWERS = np.cumprod(np.full(1 << 10, 0x9E3779B97F4A7C15, dtype=np.uint64))
+_MARKS = np.random.default_rng(9).integers(1, 2**63, 256, dtype=np.uint64)
+
+
+def _last_seen(data: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each word the place of the same word before it in its text, far below 0 where there is none."""
+    ends = np.flatnonzero(data[1:] == 32) + 1
+    begins = np.append(1, ends[:-1] + 1)[: len(ends)]
+    inside = np.arange(len(data)) - np.repeat(np.append(0, begins), np.diff(np.concatenate([[0], begins, [len(data)]])))
+    names = np.add.reduceat(_MARKS[data] * _POWERS[inside % len(_POWERS)], begins) if len(ends) else np.zeros(0, np.uint64)
+    names = names * np.uint64(31) + np.repeat(np.arange(len(counts)), counts).astype(np.uint64) * _POWERS[5]
+    order = np.argsort(names, kind="stable")
+    last = np.full(len(names), -(1 << 40))
+    same = names[order[1:]] == names[order[:-1]]
+    last[order[1:][same]] = order[:-1][same]
+    return last
+
+
 class Model:
     """What scoring needs: each bucket's part in the logit, and the two steps to a probability."""
 
@@ -97,17 +116,18 @@ class Model:
         if not total:
             return out
         of_word = np.bincount(owners, weights=self.weights[buckets], minlength=total)[:total]
-        n_grams = np.bincount(owners, minlength=total)[:total]
-        sums = np.concatenate([[0.0], np.cumsum(of_word)])
-        sizes = np.concatenate([[0], np.cumsum(n_grams)])
-        at = 0
+        sizes = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=total)[:total])])
+        # a word adds to the spans that begin after its last occurrence and hold it
+        place = np.arange(total)
+        first = np.concatenate([[0], np.cumsum(counts)])
+        begin = np.maximum(np.maximum(place - SPAN + 1, _last_seen(data, counts) + 1), np.repeat(first[:-1], counts))
+        steps = np.bincount(begin, weights=of_word, minlength=total + 1) - np.bincount(place + 1, weights=of_word, minlength=total + 1)
+        sums = np.cumsum(steps)
         for i, n in enumerate(counts):
             if n:
                 width = min(SPAN, int(n))
-                starts = np.arange(at, at + n - width + 1)
-                mean = (sums[starts + width] - sums[starts]) / np.maximum(1, sizes[starts + width] - sizes[starts])
-                out[i] = mean.max() + self.bias
-            at += int(n)
+                starts = np.arange(first[i], first[i] + n - width + 1)
+                out[i] = (sums[starts] / np.maximum(1, sizes[starts + width] - sizes[starts])).max() + self.bias
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -120,9 +140,9 @@ class Model:
 PIECE = 64
 
 
-def _spans(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Training spans of SPAN words: (n-gram buckets by span, first place of each span and the end, text of each span)."""
-    found, sizes, owners_of = [], [], []
+def _spans(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Training spans of SPAN words: (n-gram buckets by span, first place of each span and the end, n-grams repeats included, text of each span)."""
+    found, kept_sizes, sizes, owners_of = [], [], [], []
     for at in range(0, len(texts), PIECE):
         data, counts = _framed(texts[at : at + PIECE])
         buckets, owners = _grams(data)
@@ -130,13 +150,17 @@ def _spans(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         text_of = np.repeat(np.arange(len(counts)), counts)
         n_spans = -(-counts // SPAN)
         base = np.concatenate([[0], np.cumsum(n_spans)])
-        span_of_word = base[:-1][text_of] + (np.arange(int(counts.sum())) - firsts[:-1][text_of]) // SPAN
+        place = np.arange(int(counts.sum())) - firsts[:-1][text_of]
+        span_of_word = base[:-1][text_of] + place // SPAN
+        new = _last_seen(data, counts) < np.arange(len(place)) - place % SPAN
         span_of_gram = span_of_word[owners] if len(owners) else np.zeros(0, np.int64)
-        found.append(buckets[np.argsort(span_of_gram, kind="stable")])
+        kept = new[owners] if len(owners) else np.zeros(0, bool)
+        found.append(buckets[kept][np.argsort(span_of_gram[kept], kind="stable")])
+        kept_sizes.append(np.bincount(span_of_gram[kept], minlength=int(base[-1])))
         sizes.append(np.bincount(span_of_gram, minlength=int(base[-1])))
         owners_of.append(at + np.repeat(np.arange(len(counts)), n_spans))
-    starts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-    return np.concatenate(found), starts, np.concatenate(owners_of)
+    starts = np.concatenate([[0], np.cumsum(np.concatenate(kept_sizes))])
+    return np.concatenate(found), starts, np.concatenate(sizes), np.concatenate(owners_of)
 
 
 def fit(texts: list[str], labels: list[int], dim: int = 8, seed: int = 7, share: float | None = None) -> Model:
@@ -151,7 +175,7 @@ def fit(texts: list[str], labels: list[int], dim: int = 8, seed: int = 7, share:
     if not len(toxic) or toxic.all() or not toxic.any():
         return Model(None, share=share)
     rng = np.random.default_rng(seed)
-    buckets, starts, text_of = _spans(texts)
+    buckets, starts, weight, text_of = _spans(texts)
     filled = np.flatnonzero(np.diff(starts) > 0)
     if not len(filled):
         return Model(None, share=share)
@@ -168,12 +192,13 @@ def fit(texts: list[str], labels: list[int], dim: int = 8, seed: int = 7, share:
             row = np.repeat(np.arange(len(chosen)), sizes)
             ends = np.cumsum(sizes)
             gram = buckets[np.arange(ends[-1]) - np.repeat(ends - sizes, sizes) + np.repeat(starts[chosen], sizes)]
-            mean = np.add.reduceat(vectors[gram], ends - sizes, axis=0) / sizes[:, None]
+            whole = weight[chosen, None]
+            mean = np.add.reduceat(vectors[gram], ends - sizes, axis=0) / whole
             logits = mean @ soft + offset
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(chosen)), target[some]] -= 1
-            back = (p @ soft.T / sizes[:, None]).astype(np.float32)
+            back = (p @ soft.T / whole).astype(np.float32)
             grad = mean.T @ p / len(chosen)
             squares_s[...] += grad**2
             soft[...] -= rate * grad / np.sqrt(squares_s)
@@ -191,7 +216,7 @@ def fit(texts: list[str], labels: list[int], dim: int = 8, seed: int = 7, share:
         for at in range(0, len(mean), 1 << 15):
             cut = starts[at : at + (1 << 15) + 1]
             sums = np.concatenate([[0.0], np.cumsum(side[buckets[cut[0] : cut[-1]]], dtype=np.float64)])[cut - cut[0]]
-            mean[at : at + len(cut) - 1] = np.diff(sums) / np.maximum(1, np.diff(cut))
+            mean[at : at + len(cut) - 1] = np.diff(sums) / np.maximum(1, weight[at : at + len(cut) - 1])
         return mean + float(offset[1] - offset[0])
 
     target = toxic[text_of].astype(np.int64)
@@ -229,28 +254,35 @@ def _calibrate(model: Model, x: np.ndarray, toxic: np.ndarray, share: float) ->
     model.slope, model.shift = max(a, 1e-3) / scale, b - max(a, 1e-3) * center / scale
 
 
-def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, rows_per_class: int = 1500, max_chars: int = 20_000) -> Model:
-    """A model from the labelled rows.
+def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, rows_per_class: int = 1500, chars_per_class: int = 10_000_000) -> Model:
+    """A model from the rows that have both a text and a label.
 
-    Fitted on a bounded sample: of either class the ``rows_per_class`` rows first
-    by a hash of doc_id, among texts of at most ``max_chars`` characters.
+    Fitted on a bounded sample of these: of either class the rows first by a
+    hash of doc_id, ``rows_per_class`` at most and as many as have
+    ``chars_per_class`` characters together, but one at least.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     if where is not None:
         known = known.where(where)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    # ids and lengths meet the labels; only then is drawn, so that labels without a document cost no place
+    sizes = docs.where(F.col("text").isNotNull()).select("doc_id", F.length("text").alias("chars"))
+    both = written(known.join(sizes, "doc_id").select("doc_id", "toxic", "chars"), "labelled")
+    counts = {r["toxic"]: r["count"] for r in both.groupBy("toxic").count().collect()}
+    rows, order = [], (F.xxhash64("doc_id"), "doc_id", "chars")
+    parts = [both.where(F.col("toxic") == label).orderBy(*order).limit(rows_per_class) for label in (0, 1)]
+    named: dict = {}
+    left = {0: chars_per_class, 1: chars_per_class}
+    for r in parts[0].unionByName(parts[1]).collect():
+        if left[r["toxic"]] > 0 and (r["chars"] <= left[r["toxic"]] or left[r["toxic"]] == chars_per_class):
+            named[r["doc_id"]] = r["toxic"]
+            left[r["toxic"]] -= r["chars"]
+    if named:
+        ids = docs.sparkSession.createDataFrame([(i,) for i in named], f"doc_id {dict(docs.dtypes)['doc_id']}")
+        found = docs.where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id", "left_semi")
+        found = found.select("doc_id", "text").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "text").toArrow()
+        rows = [(text, named[i]) for i, text in zip(*(found.column(c).to_pylist() for c in ("doc_id", "text")), strict=True)]
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    short = docs.select("doc_id", "text").where(F.length("text") <= max_chars)
-    rows = []
-    for label in (0, 1):
-        drawn = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class)
-        ids = [r["doc_id"] for r in drawn.select("doc_id").collect()]
-        if ids:
-            named = docs.sparkSession.createDataFrame([(i,) for i in ids], f"doc_id {dict(docs.dtypes)['doc_id']}")
-            found = short.join(F.broadcast(named), "doc_id", "left_semi")
-            found = found.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows_per_class).select("text").toArrow()
-            rows += [(text, label) for text in found.column(0).to_pylist()]
     return fit([t for t, _ in rows], [y for _, y in rows], share=share)
 
 

@@ -127,10 +127,53 @@ def test_toxicity_odd_rows(spark, odd, none):
     assert toxicity.predict(none, toxicity.train(none, labels)).count() == 0
 
 
-def test_toxicity_held_out(spark):
-    found = queries.op9_toxicity(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
-    right = found.where("predicted = toxic").count()
-    assert right >= 0.97 * found.count()
+INSULTS = {"trash", "pathetic", "idiot", "worthless", "disgusting", "stupid", "clown", "scum", "loser", "moron"}
+
+
+def test_toxicity_held_out(spark, sf="sf0.1"):
+    """Recall and precision of label 1 on rows that were not learnt from.
+
+    In this table about a tenth of the texts labelled 1 hold no insult at all, and nothing
+    that tells them from clean ones; of the others nearly all must be found.
+    """
+    read = lambda name: spark.read.parquet(f"/root/testdata/{sf}/{name}.parquet")
+    found = queries.op9_toxicity(spark, f"/root/testdata/{sf}").join(read("labels"), "doc_id").join(read("documents").select("doc_id", "text"), "doc_id")
+    rows = found.where("held_out").select("toxic", "predicted", "text").collect()
+    toxic = [r for r in rows if r["toxic"]]
+    insults = [r for r in toxic if INSULTS & set(re.findall("[a-z]+", r["text"].lower()))]
+    assert sum(r["predicted"] for r in toxic) >= 0.8 * len(toxic)
+    assert sum(r["predicted"] for r in insults) >= 0.95 * len(insults) > 0.75 * len(toxic)
+    assert sum(r["predicted"] for r in rows if not r["toxic"]) <= 0.05 * len(rows)
+
+
+def test_toxicity_learns_from_all_labelled_documents(spark, monkeypatch):
+    """Labels without a document take no places of the sample."""
+    texts, toxic = made_up_toxicity(200, 3)
+    docs = docs_of(spark, [(100 * i, t, None) for i, t in enumerate(texts)])
+    named = {100 * i: y for i, y in enumerate(toxic)}
+    labels = spark.createDataFrame([(i, named.get(i, i % 2)) for i in range(20_000)], "doc_id long, toxic int")
+    seen = []
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, **more: seen.append(sorted(texts)) or fit(texts, labels, **more))
+    toxicity.train(docs, labels, rows_per_class=150)
+    toxicity.train(docs, labels, rows_per_class=30)
+    toxicity.train(docs, labels, chars_per_class=3000)
+    assert seen[0] == sorted(texts) and len(seen[1]) == 60 and sum(map(len, seen[2])) <= 6000 and len(seen[2]) > 2
+
+
+def test_words_of_a_span_add_once():
+    """Against a plain loop over all spans."""
+    rng = random.Random(4)
+    model = toxicity.Model(np.random.default_rng(1).normal(size=toxicity.BUCKETS), 0.25)
+    texts = [" ".join(rng.choices(["aa", "bb", "Idiot", "ça", "c", "the same"], k=rng.randint(0, 40))) for _ in range(40)] + [None, "", " . ", "x" * 5000]
+
+    def slow(text):
+        w = re.findall(rb"[a-z0-9\x80-\xff]+", (text or "").lower().encode())
+        one = {x: toxicity._grams(np.frombuffer(b" " + x + b" ", np.uint8))[0] for x in w}
+        spans = [w[i : i + 12] for i in range(max(1, len(w) - 11))] if w else []
+        return 0.25 + max((sum(model.weights[one[x]].sum() for x in set(s)) / max(1, sum(len(one[x]) for x in s)) for s in spans), default=0.0)
+
+    assert np.allclose(model.peaks(texts), [slow(t) for t in texts])
 
 
 # decontamination
