@@ -133,17 +133,18 @@ INSULTS = {"trash", "pathetic", "idiot", "worthless", "disgusting", "stupid", "c
 def test_toxicity_held_out(spark, sf="sf0.1"):
     """Recall and precision of label 1 on rows that were not learnt from.
 
-    In this table about a tenth of the texts labelled 1 hold no insult at all, and nothing
-    that tells them from clean ones; of the others nearly all must be found.
+    Some texts labelled 1 hold no telling word of their language, so not all can be found;
+    those with an English insult must be, and nearly all others.
     """
     read = lambda name: spark.read.parquet(f"/root/testdata/{sf}/{name}.parquet")
     found = queries.op9_toxicity(spark, f"/root/testdata/{sf}").join(read("labels"), "doc_id").join(read("documents").select("doc_id", "text"), "doc_id")
     rows = found.where("held_out").select("toxic", "predicted", "text").collect()
     toxic = [r for r in rows if r["toxic"]]
     insults = [r for r in toxic if INSULTS & set(re.findall("[a-z]+", r["text"].lower()))]
-    assert sum(r["predicted"] for r in toxic) >= 0.8 * len(toxic)
-    assert sum(r["predicted"] for r in insults) >= 0.95 * len(insults) > 0.75 * len(toxic)
-    assert sum(r["predicted"] for r in rows if not r["toxic"]) <= 0.05 * len(rows)
+    called = [r for r in rows if r["predicted"]]
+    assert len(toxic) > 90 and sum(r["predicted"] for r in toxic) >= 0.85 * len(toxic)
+    assert len(insults) > 40 and all(r["predicted"] for r in insults)
+    assert sum(r["toxic"] for r in called) >= 0.9 * len(called)
 
 
 def test_toxicity_learns_from_all_labelled_documents(spark, monkeypatch):
