@@ -40,10 +40,7 @@ _WORD[0x80:] = True
 
 
 def _framed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts with single spaces around words, and the number of words of each text.
-
-    A word that directly repeats the one before counts once.
-    """
+    """Bytes of all texts with single spaces around words, and the number of words of each text."""
     parts, counts = [], np.zeros(len(texts), dtype=np.int64)
     for i, text in enumerate(texts):
         if text:
@@ -54,7 +51,6 @@ def _framed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             words = np.where(inside, raw, 32)[keep].tobytes().split()
             if not words:
                 continue
-            words = [words[0], *(w for w, before in zip(words[1:], words, strict=False) if w != before)]
             counts[i] = len(words)
             parts.append(np.frombuffer(b" ".join(words) + b" ", dtype=np.uint8))
     data = np.concatenate([np.full(1, 32, np.uint8), *parts]) if parts else np.full(1, 32, np.uint8)
