@@ -3,7 +3,10 @@
 A word that the model knows is scored by its log frequency in each
 language. For any other word the longest order of character n-grams with a
 known gram decides: the word's known grams of that order are averaged;
-failing all orders the word says nothing.
+failing all orders the word says nothing. Tables are sorted hashes with the
+languages that a word or gram is known in, so that many languages, most of
+them rare, cost no more than their words. Words of some texts are scored
+together, each different one once.
 
 Defined cases: a null text, or one without a letter, gets ``und`` and score
 0; so does every text when there is no labelled row to learn from. Very
@@ -14,139 +17,196 @@ Columns besides the named ones are ignored.
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from collections.abc import Iterator
-from math import log
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import share, slices
+from quarry.llm.common import share, slices, small_batches
 
 UNDETERMINED = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+words_in = regex.compile(r"\p{L}+").findall
 #: Words of a text that count as evidence at most, so that scores of long texts stay apart from 1.
 EVIDENCE = 30
-#: Unseen words whose scores a task keeps.
-REMEMBERED = 300_000
+#: Cells of words by languages that are in memory at a time, about.
+CELLS = 1 << 20
+_POWERS = np.cumprod(np.full(1 << 12, 0x9E3779B97F4A7C15, dtype=np.uint64))
+
+
+def _framed(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Mixed code points of ^word$ of all words, and the ends of the words in them."""
+    joined = "".join([f"^{w}$" for w in words])
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    mixed = (points + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(31)
+    return mixed * np.uint64(0x94D049BB133111EB), np.cumsum([len(w) + 2 for w in words], dtype=np.int64)
+
+
+def _whole(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word."""
+    begins = np.append(0, ends)[: len(ends)]
+    inside = np.arange(len(points)) - np.repeat(begins, np.diff(np.append(0, ends)))
+    return np.add.reduceat(points * _POWERS[inside % len(_POWERS)], begins) if len(ends) else np.zeros(0, np.uint64)
+
+
+def _grams(points: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams of all words, and the word of each."""
+    if len(points) < n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    hashes = np.zeros(len(points) - n + 1, np.uint64)
+    for k in range(n):
+        hashes += points[k : len(points) - n + 1 + k] * _POWERS[k + 7]
+    sizes = np.diff(np.append(0, ends))
+    owner = np.repeat(np.arange(len(ends)), sizes)[: len(hashes)]
+    inside = np.arange(len(hashes)) + n <= ends[owner]
+    return hashes[inside], owner[inside]
+
+
+class Table:
+    """Log shares of hashed keys in each language: a default by language, and what known pairs differ from it."""
+
+    def __init__(self, keys: np.ndarray, langs: np.ndarray, counts: np.ndarray, width: int):
+        order = np.lexsort((langs, keys))
+        keys, langs, counts = keys[order], langs[order], counts[order]
+        new = np.append(True, (keys[1:] != keys[:-1]) | (langs[1:] != langs[:-1])) if len(keys) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        counts = np.add.reduceat(counts, first) if len(first) else counts
+        keys, self.langs = keys[first], langs[first].astype(np.int32)
+        own = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        self.keys, self.begins = keys[own], np.append(own, len(keys))
+        totals = np.bincount(self.langs, weights=counts, minlength=width) + 0.5 * max(1, len(self.keys))
+        self.default = np.log(0.5 / totals)
+        self.more = (np.log((counts + 0.5) / totals[self.langs]) - self.default[self.langs]).astype(np.float32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of each hash, -1 where it is not known."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, at, -1)
+
+    def entries(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number in places, language, difference) of all known pairs of the keys at places."""
+        sizes = self.begins[places + 1] - self.begins[places]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes) + np.repeat(self.begins[places], sizes)
+        return np.repeat(np.arange(len(places)), sizes), self.langs[at], self.more[at]
 
 
 class Model:
-    """Per-language log frequencies of words and of character n-grams."""
+    """Per-language log frequencies of words (order 0) and of character n-grams."""
 
     def __init__(self, rows: list[tuple[str, str, int]], orders: int = 5):
         """rows: (language, word, count)."""
         self.languages = sorted({lang for lang, _, _ in rows})
-        self.orders = orders
         place = {lang: i for i, lang in enumerate(self.languages)}
-        width = len(place)
-        words: dict[str, list[float]] = {}
-        grams: list[dict[str, list[float]]] = [{} for _ in range(orders + 1)]
-        for lang, word, count in rows:
-            at = place[lang]
-            words.setdefault(word, [0.0] * width)[at] += count
-            weight = 1.0 + log(count)
-            framed = f"^{word}$"
-            for n in range(1, orders + 1):
-                table = grams[n]
-                for i in range(len(framed) - n + 1):
-                    table.setdefault(framed[i : i + n], [0.0] * width)[at] += weight
-        self.words, self.word_scores = self._scores(words, width)
-        self.grams = [self._scores(table, width) for table in grams]
-
-    @staticmethod
-    def _scores(table: dict[str, list[float]], width: int) -> tuple[dict[str, int], np.ndarray]:
-        counts = np.array(list(table.values()), dtype=np.float64).reshape(len(table), width)
-        share = (counts + 0.5) / (counts.sum(0) + 0.5 * max(1, len(table)))
-        return {key: i for i, key in enumerate(table)}, np.log(share)
-
-    def unseen(self, word: str) -> np.ndarray:
-        framed = f"^{word}$"
-        for n in range(min(self.orders, len(framed)), 0, -1):
-            places, scores = self.grams[n]
-            known = [places[g] for i in range(len(framed) - n + 1) if (g := framed[i : i + n]) in places]
-            if known:
-                return scores[known].mean(0)
-        return np.zeros(len(self.languages))
-
-
-class _Scores(dict):
-    """word -> row of a growing matrix of scores."""
-
-    def __init__(self, model: Model):
-        super().__init__()
-        self.model = model
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
-        self.update(self.model.words)
-        self.used = len(self.model.words)
-        self.rows = np.empty((self.used + 4096, len(self.model.languages)))
-        self.rows[: self.used] = self.model.word_scores
-
-    def __missing__(self, word: str) -> int:
-        if self.used == len(self.rows):
-            self.rows = np.vstack([self.rows, np.empty_like(self.rows)])
-        self.rows[self.used] = self.model.unseen(word)
-        self[word] = self.used
-        self.used += 1
-        return self.used - 1
-
-
-class Scorer:
-    def __init__(self, model: Model):
-        self.model, self.seen = model, _Scores(model)
-
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.model.languages or not any(map(str.isalpha, text)):
-            return UNDETERMINED, 0.0
-        words = LETTERS.findall(text.lower())
-        if not words:
-            return UNDETERMINED, 0.0
-        if len(self.seen) > REMEMBERED + len(self.model.words):
-            self.seen.reset()
-        at = list(map(self.seen.__getitem__, words))
-        total = self.seen.rows[at].mean(0) * min(len(words), EVIDENCE)
-        share = np.exp(total - total.max())
-        share /= share.sum()
-        best = int(share.argmax())
-        return self.model.languages[best], float(share[best])
-
-
-def train(
-    docs: DataFrame,
-    where: Column | None = None,
-    rows_per_language: int = 3000,
-    max_words: int = 100_000,
-    max_languages: int = 500,
-) -> Model:
-    """A model from rows with a text and a language.
-
-    It is fitted on a sample that does not grow with the input: about
-    ``rows_per_language`` rows of each language, drawn by a hash of doc_id, and
-    of their words the ``max_words`` most frequent (language, word) pairs.
+        langs = np.array([place[lang] for lang, _, _ in rows], np.int32)
+        counts = np.array([n for _, _, n in rows], np.float64)
+        points, ends = _framed([word for _, word, _ in rows])
+        self.tables = [Table(_whole(points, ends), langs, counts, len(place))]
+        for n in range(1, orders + 1):
+            hashes, owner = _grams(points, ends, n)
+            self.tables.append(Table(hashes, langs[owner], 1 + np.log(counts[owner]), len(place)))
+
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """A row of scores for each word; zeros for a word that says nothing."""
+        width = len(self.languages)
+        out = np.zeros((len(words), width))
+        points, ends = _framed(words)
+        left = np.arange(len(words))
+
+        def add(table: Table, which: np.ndarray, places: np.ndarray, weight: np.ndarray) -> None:
+            number, langs, more = table.entries(places)
+            out.ravel()[:] += np.bincount(which[number] * width + langs, weights=more * weight[number], minlength=out.size)
+
+        places = self.tables[0].find(_whole(points, ends))
+        known = np.flatnonzero(places >= 0)
+        add(self.tables[0], known, places[known], np.ones(len(known)))
+        out[known] += self.tables[0].default
+        open_ = np.ones(len(words), bool)
+        open_[known] = False
+        for n in range(len(self.tables) - 1, 0, -1):
+            if not open_[left].any():
+                break
+            hashes, owner = _grams(points, ends, n)
+            some = open_[owner]
+            hashes, owner = hashes[some], owner[some]
+            places = self.tables[n].find(hashes)
+            some = places >= 0
+            places, owner = places[some], owner[some]
+            numbers = np.bincount(owner, minlength=len(words))
+            add(self.tables[n], owner, places, 1 / np.maximum(1, numbers)[owner])
+            out[numbers > 0] += self.tables[n].default
+            open_ &= numbers == 0
+        return out
+
+    def scores(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text."""
+        found: list[tuple[str, float]] = []
+        numbers: dict[str, int] = {}
+        held: list[list[int]] = []
+
+        def flush() -> None:
+            rows = self.word_scores(list(numbers))
+            for at in held:
+                if not at:
+                    found.append((UNDETERMINED, 0.0))
+                    continue
+                which, counts = np.unique(at, return_counts=True)
+                total = (counts / len(at)) @ rows[which] * min(len(at), EVIDENCE)
+                share = np.exp(total - total.max())
+                share /= share.sum()
+                best = int(share.argmax())
+                found.append((self.languages[best], float(share[best])))
+            numbers.clear()
+            held.clear()
+
+        for text in texts:
+            words = words_in(text.lower()) if text and self.languages else ()
+            held.append([numbers.setdefault(w, len(numbers)) for w in words])
+            if len(numbers) * len(self.languages) > CELLS:
+                flush()
+        flush()
+        return found
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts: Counter[tuple[str, str]] = Counter()
+        for part in slices(batch):
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                counts.update((lang, w) for w in words_in(text.lower()))
+        columns = zip(*((lang, w, n) for (lang, w), n in counts.items()), strict=True) if counts else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "word", "n"])
+
+
+def train(docs: DataFrame, where: Column | None = None, rows_per_language: int = 2000, max_rows: int = 20_000) -> Model:
+    """A model of all languages, from rows with a text and a language.
+
+    Fitted on a bounded sample of these rows, drawn by a hash of doc_id: about
+    ``rows_per_language`` of each language, or as many as ``max_rows`` give
+    each, at least one. All words of the sample count.
     """
     rows = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     if where is not None:
         rows = rows.where(where)
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not sizes:
+    sizes = rows.groupBy("lang").count().cache()
+    languages = sizes.count()
+    if not languages:
         return Model([])
-    parts = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, rows_per_language / r["count"]))))
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < parts[F.col("lang")] * 1_000_003
-    words = (
-        rows.where(drawn)
-        .select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-        .groupBy("lang", "word")
-        .count()
-        .orderBy(F.desc("count"), "lang", "word")
-        .limit(max_words)
-        .toArrow()
-    )
-    return Model(list(zip(*(words.column(c).to_pylist() for c in ("lang", "word", "count")), strict=True)))
+    wanted = min(rows_per_language, max(1, max_rows // languages))
+    rates = sizes.select("lang", (F.lit(float(wanted)) / F.col("count")).alias("quarry_rate"))
+    if languages <= max_rows:
+        rates = F.broadcast(rates)
+    drawn = rows.join(rates, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.col("quarry_rate") * 1_000_003)
+    counted = small_batches(drawn).select("lang", "text").mapInArrow(_count_words, "lang string, word string, n bigint")
+    words = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    sizes.unpersist()
+    return Model(list(zip(*(words.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True)))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -155,10 +215,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = Scorer(shared.value)
         for batch in batches:
             for part in slices(batch):
-                found = [score(t) for t in part.column(1).to_pylist()]
+                found = shared.value.scores(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
                     names=["doc_id", "lang_pred", "score"],
@@ -173,10 +232,9 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.3) -> Da
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = Scorer(shared.value)
         for batch in batches:
             for part in slices(batch):
-                found = [score(t) for t in part.column(at).to_pylist()]
+                found = shared.value.scores(part.column(at).to_pylist())
                 yield part.filter(pa.array([lang != UNDETERMINED and s >= min_score for lang, s in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

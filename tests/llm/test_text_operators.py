@@ -86,8 +86,70 @@ def test_language_odd_rows(odd, none):
 
 def test_unseen_words_back_off():
     model = language_id.Model([("a", "running", 5), ("a", "walking", 5), ("b", "laufen", 5), ("b", "gehen", 5)])
-    score = language_id.Scorer(model)
-    assert score("jumping")[0] == "a" and score("kaufen")[0] == "b"
+    assert [lang for lang, _ in model.scores(["jumping", "kaufen"])] == ["a", "b"]
+
+
+def language_by_hand(rows, texts, orders=5):
+    """Scores by dictionaries and loops: words, then the longest order of n-grams with a known gram."""
+    langs = sorted({lang for lang, _, _ in rows})
+    tables = [{} for _ in range(orders + 1)]
+    for lang, word, n in rows:
+        at, framed = langs.index(lang), f"^{word}$"
+        tables[0].setdefault(word, [0.0] * len(langs))[at] += n
+        for k in range(1, orders + 1):
+            for i in range(len(framed) - k + 1):
+                tables[k].setdefault(framed[i : i + k], [0.0] * len(langs))[at] += 1 + np.log(n)
+    totals = [np.sum(list(t.values()), axis=0) + 0.5 * len(t) for t in tables]
+    score = lambda k, key: np.log((np.array(tables[k][key]) + 0.5) / totals[k])
+
+    def of_word(word):
+        if word in tables[0]:
+            return score(0, word)
+        framed = f"^{word}$"
+        for k in range(orders, 0, -1):
+            if known := [framed[i : i + k] for i in range(len(framed) - k + 1) if framed[i : i + k] in tables[k]]:
+                return np.mean([score(k, g) for g in known], axis=0)
+        return np.zeros(len(langs))
+
+    out = []
+    for text in texts:
+        words = ["".join(g) for g in re.findall("((?:[^\\W\\d_])+)", (text or "").lower())]
+        if not words:
+            out.append(("und", 0.0))
+            continue
+        total = np.mean([of_word(w) for w in words], axis=0) * min(len(words), 30)
+        share = np.exp(total - total.max()) / np.exp(total - total.max()).sum()
+        out.append((langs[int(share.argmax())], share.max()))
+    return out
+
+
+@pytest.mark.parametrize("cells", [1 << 20, 40])
+def test_language_by_hand(monkeypatch, cells):
+    monkeypatch.setattr(language_id, "CELLS", cells)
+    rng = random.Random(5)
+    word = lambda letters: "".join(rng.choices(letters, k=rng.randint(1, 7)))
+    rows = [(lang, word(letters), rng.randint(1, 40)) for lang, letters in (("x", "abcde"), ("y", "defgé"), ("zz", "日本eg")) for _ in range(60)]
+    texts = [" ".join(rng.choice(rows)[1] if rng.random() < 0.5 else word("abcdefgé日qw") for _ in range(rng.randint(0, 50))) for _ in range(60)] + [None, "", "12 !", "QWW"]
+    found, wanted = language_id.Model(rows).scores(texts), language_by_hand(rows, texts)
+    assert [x for x, _ in found] == [x for x, _ in wanted]
+    assert np.allclose([x for _, x in found], [x for _, x in wanted], atol=1e-4)
+    tied = language_id.Model([("b", "same", 3), ("a", "same", 3), ("c", "same", 3)]).scores(["same", "other"])
+    assert [lang for lang, _ in tied] == ["a", "a"]
+
+
+def test_many_languages_one_of_them_rare(spark):
+    """600 languages; that with two rows is learnt like the others."""
+    rng = random.Random(6)
+    letters = "bcdfghjklmnpqrstvwxz"
+    known = ["".join([letters[i // 20 % 20], letters[i % 20], v, letters[i // 400]]) for i in range(600) for v in "aeiou"]
+    made = lambda i: rng.choices(known[5 * i : 5 * i + 5], k=12)
+    rows = [(1000 * i + k, " ".join(made(i)), f"l{i:03}") for i in range(600) for k in range(2 if i == 77 else 6)]
+    docs = docs_of(spark, rows)
+    model = language_id.train(docs, max_rows=3000)
+    assert len(model.languages) == 600
+    texts = [" ".join(made(i)) for i in range(600)]
+    found = [lang for lang, _ in model.scores(texts)]
+    assert found[77] == "l077" and np.mean([f == f"l{i:03}" for i, f in enumerate(found)]) > 0.95
 
 
 # toxicity
@@ -724,8 +786,8 @@ def test_every_stage_keeps_just_the_right_rows(spark):
         windows.setdefault(n, set()).update(tuple(w[i : i + n]) for i in range(len(w) - n + 1) if n)
 
     def identified(docs, rows):
-        score = language_id.Scorer(language_id.train(docs, where=~held_out()))
-        return {i for i, t in rows if (found := score(t))[0] != language_id.UNDETERMINED and found[1] >= 0.3}
+        found = language_id.train(docs, where=~held_out()).scores([t for _, t in rows])
+        return {i for (i, _), (lang, score) in zip(rows, found, strict=True) if lang != language_id.UNDETERMINED and score >= 0.3}
 
     def civil(docs, rows):
         model = toxicity.train(docs, labels, where=~held_out())
