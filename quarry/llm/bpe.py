@@ -8,9 +8,11 @@ other chunk is encoded where it is met, and kept by that task for a while.
 
 A chunk's encoding is right inside, not at its ends, where it may have cut a
 word. Each join is repaired: the text from the last white space before to
-the first after it is encoded anew, once with one neighbouring word on
-either side; what comes out must be what the three parts give alone. A
-join where it is not has its document encoded as a whole. No token reaches over white space, so agreement is exact.
+the first after it is encoded anew, and must come out the same with a
+neighbouring word on either side. Where it does not, the repaired stretch
+takes in more and more words of the chunk on that side, whose rest is
+encoded anew, until it agrees with its new neighbour; where a chunk has no
+more words, the document is encoded as a whole.
 
 Defined cases: null is encoded like the empty text, to no tokens. Very long
 texts are encoded whole, as is a text without white space. Strings of
@@ -22,7 +24,8 @@ ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +38,11 @@ from quarry.llm.common import as_bytes, sha256_hex, share, slices, small_batches
 #: Bytes that the rolling hash sees, the chance of an end at a byte, the least bytes of a chunk.
 REACH, ENDS, LEAST = 16, 1 << 10, 256
 #: Bytes of text of the chunks that all tasks share, and of those that a task keeps.
-SHARED_BYTES, KEPT_BYTES = 8_000_000, 16_000_000
+SHARED_BYTES, KEPT_BYTES = 8_000_000, 8_000_000
 #: Bytes of a chunk that is worth sharing at most, and their number at most.
 LONGEST_SHARED, SHARED_CHUNKS = 16_384, 20_000
-#: Words whose ids a task keeps.
-KEPT_WORDS = 300_000
+#: Words whose encoding a task keeps.
+KEPT_WORDS = 200_000
 _GEAR = np.random.default_rng(4).integers(0, 2**63, 256, dtype=np.uint64)
 _SPACES = b" \t\n\r"
 
@@ -69,8 +72,24 @@ def chunks(text: bytes) -> list[bytes]:
     return [text[lo:hi] for lo, hi in zip([0, *cut[:-1]], cut, strict=True)] if text else []
 
 
+class Encoded(NamedTuple):
+    """Token ids as packed numbers, as decimal text, and what they decode to, in bytes; parts are joined by join()."""
+
+    ids: bytes = b""
+    decimal: bytes = b""
+    decoded: bytes = b""
+
+
+def join(parts: list[Encoded]) -> Encoded:
+    return Encoded(
+        b"".join([p[0] for p in parts]),
+        b" ".join([p[1] for p in parts if p[1]]),
+        b" ".join([p[2] for p in parts if p[0]]),
+    )
+
+
 class Encoder:
-    """The library's encoding, by words where that is known to give the same; ids are packed as bytes of ``kind``."""
+    """The library's encoding, by words where that is known to give the same; ids are packed as numbers of ``kind``."""
 
     #: Latin text: normal already but for case, and split alike here and in the library.
     LATIN = re.compile(r"[\t\n\v\f\r -~¡-įı-ɏ]*")
@@ -88,18 +107,24 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.pretokens = regex.compile(self.WORDS).findall
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, Encoded] = {}
         self.pieces = [self.library.id_to_token(i) for i in range(self.library.get_vocab_size())]
+        self.raw_pieces = [p.encode() for p in self.pieces]
+        self.digits = [b"%d" % i for i in range(len(self.pieces))]
         self.ending = np.array([p.endswith("</w>") for p in self.pieces])
         self.kind = np.dtype(np.uint16 if len(self.pieces) <= 1 << 16 else np.uint32)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
 
-    def whole(self, text: str) -> bytes:
-        return self._ids(text).tobytes()
+    def of_ids(self, packed: bytes) -> Encoded:
+        ids = np.frombuffer(packed, self.kind).tolist()
+        return Encoded(packed, b" ".join(map(self.digits.__getitem__, ids)), b" ".join(map(self.raw_pieces.__getitem__, ids)))
+
+    def whole(self, text: str) -> Encoded:
+        return self.of_ids(self._ids(text).tobytes())
 
-    def __call__(self, text: str) -> bytes:
+    def __call__(self, text: str) -> Encoded:
         if "<|" in text or not self.LATIN.fullmatch(text):
             return self.whole(text)
         words = text.lower().split()
@@ -108,10 +133,10 @@ class Encoder:
         known = self.known
         if new := list(set(words).difference(known)):
             known.update(zip(new, self._learn(new), strict=True))
-        return b"".join(map(known.__getitem__, words))
+        return join([known[w] for w in words])
 
-    def _learn(self, words: list[str]) -> list[bytes]:
-        """Ids of words, from one call: a pretoken's last piece, and no other, carries the end mark."""
+    def _learn(self, words: list[str]) -> list[Encoded]:
+        """Encodings of words, from one call: a pretoken's last piece, and no other, carries the end mark."""
         ids = self._ids(" ".join(words))
         last = np.cumsum([len(self.pretokens(w)) for w in words])
         stops = np.flatnonzero(self.ending[ids])
@@ -119,83 +144,122 @@ class Encoder:
             return [self.whole(w) for w in words]
         cuts = ((np.append(0, stops[last - 1] + 1)) * self.kind.itemsize).tolist()
         raw = ids.tobytes()
-        return [raw[lo:hi] for lo, hi in zip(cuts, cuts[1:], strict=False)]
+        return [self.of_ids(raw[lo:hi]) for lo, hi in zip(cuts, cuts[1:], strict=False)]
 
     def decode(self, ids: list[int]) -> str:
         """As the library's decode(ids, skip_special_tokens=False), which joins pieces by spaces."""
         return " ".join(map(self.pieces.__getitem__, ids))
 
 
+_WORD = re.compile(r"[ \t\n\r]+[^ \t\n\r]+")
+
+
 class Chunk:
-    """A chunk with its ids: head and tail are the words at its ends, encoded alone; the body is all between."""
+    """A chunk with its encoding: head and tail are the words at its ends, encoded alone; the body is all between."""
 
-    __slots__ = ("head", "tail", "body", "first", "last", "plain")
+    __slots__ = ("head", "tail", "inside", "body", "plain")
 
-    def __init__(self, text: str, encode: Encoder):
+    def __init__(self, text: str, encode: Callable[[str], Encoded], body: Encoded | None = None):
         spaces = [i for i in map(text.find, " \t\n\r") if i >= 0]
         self.plain = not spaces
         if self.plain:
-            self.head, self.tail, self.body, self.first, self.last = text, "", b"", "", ""
+            self.head, self.tail, self.inside, self.body = text, "", "", Encoded()
             return
         start, stop = min(spaces), max(map(text.rfind, " \t\n\r"))
-        self.head, self.tail = text[:start], text[stop:]
-        inside = text[start:stop]
-        self.body = encode(inside)
-        words = inside.split(None, 1)
-        self.first = " " + words[0] if words else ""
-        words = inside.rsplit(None, 1)
-        self.last = " " + words[-1] if words else ""
+        self.head, self.inside, self.tail = text[:start], text[start:stop], text[stop:]
+        self.body = encode(self.inside) if body is None else body
+
+
+def first_words(text: str, n: int) -> int:
+    """Where the first n words of a text, and the white space before them, end."""
+    at = 0
+    for _, found in zip(range(n), _WORD.finditer(text), strict=False):
+        at = found.end()
+    return at
+
+
+def last_words(text: str, n: int) -> int:
+    """Where the last n words of a text, with the white space before them, begin."""
+    at = len(text)
+    for _ in range(n):
+        end = len(text[:at].rstrip(" \t\n\r"))
+        space = max(text.rfind(c, 0, end) for c in " \t\n\r")
+        if end <= 0 or space < 0:
+            return 0
+        at = len(text[:space].rstrip(" \t\n\r"))
+    return at
 
 
 class Coder:
-    """Encodes texts from chunks."""
+    """Encodes texts from chunks. shared: packed ids of the bodies of chunks."""
 
-    def __init__(self, path: str, shared: dict[bytes, Chunk] | None = None):
-        self.encode = Encoder(path)
+    def __init__(self, encode: Encoder, shared: dict[bytes, bytes] | None = None):
+        self.encode = encode
         self.shared, self.kept, self.size = shared or {}, {}, 0
+        self.widened = self.given_up = 0
 
     def chunk(self, raw: bytes) -> Chunk:
-        found = self.shared.get(raw) or self.kept.get(raw)
+        found = self.kept.get(raw)
         if found is None:
-            found = Chunk(raw.decode("utf-8", "replace"), self.encode)
+            packed = self.shared.get(raw)
+            found = Chunk(raw.decode("utf-8", "replace"), self.encode, None if packed is None else self.encode.of_ids(packed))
             self.size += len(raw)
             if self.size > KEPT_BYTES:
                 self.kept, self.size = {}, len(raw)
             self.kept[raw] = found
         return found
 
-    def join(self, before: str, middle: str, after: str) -> bytes | None:
-        """Ids of the text across a join, once the words around it come out as in their chunks."""
-        ids = self.encode(middle)
-        around = self.encode(before + middle + after)
-        return ids if around == self.encode(before) + ids + self.encode(after) else None
-
-    def ids(self, raw: bytes | None) -> np.ndarray:
-        return np.frombuffer(self._packed(raw) if raw else b"", dtype=self.encode.kind)
-
-    def _packed(self, raw: bytes) -> bytes:
-        out: list[bytes] = []
-        open_text, before = "", ""
-        for piece in map(self.chunk, chunks(raw)):
-            if piece.plain:
-                open_text += piece.head
-                continue
-            if before or open_text or piece.head:
-                found = self.join(before, open_text + piece.head, piece.first)
-                if found is None:
-                    return self.encode.whole(raw.decode("utf-8", "replace"))
-                out.append(found)
-            out.append(piece.body)
-            open_text, before = piece.tail, piece.last
-        return b"".join([*out, self.encode(open_text)])
+    def apart(self, left: str, right: str) -> bool:
+        """Whether two stretches are encoded the same side by side as each alone."""
+        return not left or not right or self.encode(left + right).ids == self.encode(left).ids + self.encode(right).ids
+
+    def repair(self, before: list | None, middle: str, after: list | None) -> Encoded | None:
+        """The encoding of the text across a join; None where the bodies beside it have no more words to take in.
+
+        before, after: text and encoding of these bodies, cut back as far as needed; None at the ends of a document.
+        """
+        first, last = before[0] if before else "", after[0] if after else ""
+        left, right, stretch, n, m = first, last, middle, 0, 0
+        while True:
+            fits = self.apart(left[last_words(left, 1) :], stretch), self.apart(stretch, right[: first_words(right, 1)])
+            if all(fits):
+                break
+            n, m = (n if fits[0] else n + 1 + n // 16), (m if fits[1] else m + 1 + m // 16)
+            start, end = last_words(first, n), first_words(last, m)
+            if before and not start or after and end >= len(last):
+                return None
+            left, stretch, right = first[:start], first[start:] + middle + last[:end], last[end:]
+        found = self.encode(stretch)
+        if n or m:
+            self.widened += 1
+        for side, rest in ((before, left), (after, right)):
+            if side and rest != side[0]:
+                side[:] = [rest, self.encode(rest)]
+        return found
+
+    def __call__(self, raw: bytes | None) -> Encoded:
+        bodies: list[list] = []
+        stretches = [""]
+        for piece in map(self.chunk, chunks(raw or b"")):
+            stretches[-1] += piece.head
+            if not piece.plain:
+                bodies.append([piece.inside, piece.body])
+                stretches.append(piece.tail)
+        out = []
+        for before, stretch, after in zip([None, *bodies], stretches, [*bodies, None], strict=True):
+            out += [before, self.repair(before, stretch, after)] if before else [self.repair(before, stretch, after)]
+        if None in out:
+            self.given_up += 1
+            return self.encode.whole(raw.decode("utf-8", "replace"))
+        return join([p[1] if isinstance(p, list) else p for p in out])
 
 
 def _hash(raw: bytes) -> int:
     return xxhash.xxh64_intdigest(raw) - (1 << 63)
 
 
-def shared_chunks(docs: DataFrame, path: str) -> dict[bytes, Chunk]:
-    """The chunks whose reuse saves most, encoded once each; SHARED_BYTES of text and SHARED_CHUNKS at most."""
+def shared_chunks(docs: DataFrame, path: str) -> dict[bytes, bytes]:
+    """The chunks whose reuse saves most, with the packed ids of their bodies, encoded once each; SHARED_BYTES of text and SHARED_CHUNKS at most."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,24 +306,12 @@ def shared_chunks(docs: DataFrame, path: str) -> dict[bytes, Chunk]:
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(path)
         for batch in batches:
-            made = [Chunk(raw.decode("utf-8", "replace"), encode) for raw in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), *(pa.array([getattr(c, k) for c in made], pa.string()) for k in ("head", "tail", "first", "last")),
-                 pa.array([c.plain for c in made], pa.bool_()), pa.array([c.body for c in made], pa.binary())],
-                names=["chunk", "head", "tail", "first", "last", "plain", "body"],
-            )
+            bodies = [Chunk(raw.decode("utf-8", "replace"), encode).body.ids for raw in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(bodies, pa.binary())], names=["chunk", "body"])
 
     once = texts.mapInArrow(fetched, "hash bigint, chunk binary").dropDuplicates(["hash"])
-    rows = once.mapInArrow(encoded, "chunk binary, head string, tail string, first string, last string, plain boolean, body binary").toArrow()
-    return dict(zip(rows.column("chunk").to_pylist(), rows.drop_columns(["chunk"]).to_pylist(), strict=True))
-
-
-def _restored(rows: dict[bytes, dict]) -> dict[bytes, Chunk]:
-    made = {}
-    for raw, row in rows.items():
-        c = made[raw] = Chunk.__new__(Chunk)
-        c.head, c.tail, c.first, c.last, c.plain, c.body = (row[k] for k in ("head", "tail", "first", "last", "plain", "body"))
-    return made
+    rows = once.mapInArrow(encoded, "chunk binary, body binary").toArrow()
+    return dict(zip(*(rows.column(c).to_pylist() for c in ("chunk", "body")), strict=True))
 
 
 def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
@@ -271,21 +323,20 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(path, _restored(shared.value))
-        digits = [str(i) for i in range(len(coder.encode.pieces))]
+        encode = Encoder(path)
+        coder, size = Coder(encode, shared.value), encode.kind.itemsize
         for batch in batches:
             for part in slices(batch, 256):
-                packed = [coder.ids(t) for t in as_bytes(part.column(1))]
-                found = [ids.tolist() for ids in packed]
+                found = [coder(t) for t in as_bytes(part.column(1))]
                 columns = [
                     part.column(0),
-                    pa.array(list(map(len, found)), pa.int64()),
-                    pa.array([sha256_hex(" ".join(map(digits.__getitem__, ids)).encode()) for ids in found]),
-                    pa.array([sha256_hex(coder.encode.decode(ids).encode()) for ids in found]),
+                    pa.array([len(e.ids) // size for e in found], pa.int64()),
+                    pa.array([sha256_hex(e.decimal) for e in found]),
+                    pa.array([sha256_hex(e.decoded) for e in found]),
                 ]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns.append(pa.array([ids.astype(np.int32) for ids in packed], pa.list_(pa.int32())))
+                    columns.append(pa.array([np.frombuffer(e.ids, encode.kind).astype(np.int32) for e in found], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
