@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +37,11 @@ from quarry.llm.common import as_bytes, sha256_hex, share, slices, small_batches
 #: Bytes that the rolling hash sees, the chance of an end at a byte, the least bytes of a chunk.
 REACH, ENDS, LEAST = 16, 1 << 10, 256
 #: Bytes of text of the chunks that all tasks share, and of those that a task keeps.
-SHARED_BYTES, KEPT_BYTES = 8_000_000, 8_000_000
+SHARED_BYTES, KEPT_BYTES = 8_000_000, 16_000_000
 #: Bytes of a chunk that is worth sharing at most, and their number at most.
 LONGEST_SHARED, SHARED_CHUNKS = 16_384, 20_000
-#: Words whose encoding a task keeps.
-KEPT_WORDS = 200_000
+#: Words whose ids a task keeps.
+KEPT_WORDS = 300_000
 _GEAR = np.random.default_rng(4).integers(0, 2**63, 256, dtype=np.uint64)
 _SPACES = b" \t\n\r"
 
@@ -72,24 +71,8 @@ def chunks(text: bytes) -> list[bytes]:
     return [text[lo:hi] for lo, hi in zip([0, *cut[:-1]], cut, strict=True)] if text else []
 
 
-class Encoded(NamedTuple):
-    """Token ids as packed numbers, as decimal text, and what they decode to, in bytes; parts are joined by join()."""
-
-    ids: bytes = b""
-    decimal: bytes = b""
-    decoded: bytes = b""
-
-
-def join(parts: list[Encoded]) -> Encoded:
-    return Encoded(
-        b"".join([p[0] for p in parts]),
-        b" ".join([p[1] for p in parts if p[1]]),
-        b" ".join([p[2] for p in parts if p[0]]),
-    )
-
-
 class Encoder:
-    """The library's encoding, by words where that is known to give the same; ids are packed as numbers of ``kind``."""
+    """The library's encoding, by words where that is known to give the same; ids are packed as bytes of ``kind``."""
 
     #: Latin text: normal already but for case, and split alike here and in the library.
     LATIN = re.compile(r"[\t\n\v\f\r -~¡-įı-ɏ]*")
@@ -107,44 +90,41 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.pretokens = regex.compile(self.WORDS).findall
-        self.known: dict[str, Encoded] = {}
+        self.known: dict[str, bytes] = {}
         self.pieces = [self.library.id_to_token(i) for i in range(self.library.get_vocab_size())]
-        self.raw_pieces = [p.encode() for p in self.pieces]
-        self.digits = [b"%d" % i for i in range(len(self.pieces))]
         self.ending = np.array([p.endswith("</w>") for p in self.pieces])
         self.kind = np.dtype(np.uint16 if len(self.pieces) <= 1 << 16 else np.uint32)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
 
-    def of_ids(self, packed: bytes) -> Encoded:
-        ids = np.frombuffer(packed, self.kind).tolist()
-        return Encoded(packed, b" ".join(map(self.digits.__getitem__, ids)), b" ".join(map(self.raw_pieces.__getitem__, ids)))
+    def whole(self, text: str) -> bytes:
+        return self._ids(text).tobytes()
 
-    def whole(self, text: str) -> Encoded:
-        return self.of_ids(self._ids(text).tobytes())
-
-    def __call__(self, text: str) -> Encoded:
+    def __call__(self, text: str) -> bytes:
         if "<|" in text or not self.LATIN.fullmatch(text):
             return self.whole(text)
         words = text.lower().split()
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
         known = self.known
-        if new := list(set(words).difference(known)):
+        try:
+            return b"".join(map(known.__getitem__, words))
+        except KeyError:
+            if len(known) > KEPT_WORDS:
+                known.clear()
+            new = list(set(words).difference(known))
             known.update(zip(new, self._learn(new), strict=True))
-        return join([known[w] for w in words])
+        return b"".join(map(known.__getitem__, words))
 
-    def _learn(self, words: list[str]) -> list[Encoded]:
-        """Encodings of words, from one call: a pretoken's last piece, and no other, carries the end mark."""
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Ids of words, from one call: a pretoken's last piece, and no other, carries the end mark."""
         ids = self._ids(" ".join(words))
-        last = np.cumsum([len(self.pretokens(w)) for w in words])
+        last = np.cumsum([1 if w.isalpha() else len(self.pretokens(w)) for w in words])
         stops = np.flatnonzero(self.ending[ids])
         if last[-1] != len(stops):
             return [self.whole(w) for w in words]
         cuts = ((np.append(0, stops[last - 1] + 1)) * self.kind.itemsize).tolist()
         raw = ids.tobytes()
-        return [self.of_ids(raw[lo:hi]) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+        return [raw[lo:hi] for lo, hi in zip(cuts, cuts[1:], strict=False)]
 
     def decode(self, ids: list[int]) -> str:
         """As the library's decode(ids, skip_special_tokens=False), which joins pieces by spaces."""
@@ -159,11 +139,11 @@ class Chunk:
 
     __slots__ = ("head", "tail", "inside", "body", "plain")
 
-    def __init__(self, text: str, encode: Callable[[str], Encoded], body: Encoded | None = None):
+    def __init__(self, text: str, encode: Callable[[str], bytes], body: bytes | None = None):
         spaces = [i for i in map(text.find, " \t\n\r") if i >= 0]
         self.plain = not spaces
         if self.plain:
-            self.head, self.tail, self.inside, self.body = text, "", "", Encoded()
+            self.head, self.tail, self.inside, self.body = text, "", "", b""
             return
         start, stop = min(spaces), max(map(text.rfind, " \t\n\r"))
         self.head, self.inside, self.tail = text[:start], text[start:stop], text[stop:]
@@ -201,35 +181,33 @@ class Coder:
     def chunk(self, raw: bytes) -> Chunk:
         found = self.kept.get(raw)
         if found is None:
-            packed = self.shared.get(raw)
-            found = Chunk(raw.decode("utf-8", "replace"), self.encode, None if packed is None else self.encode.of_ids(packed))
+            found = Chunk(raw.decode("utf-8", "replace"), self.encode, self.shared.get(raw))
             self.size += len(raw)
             if self.size > KEPT_BYTES:
                 self.kept, self.size = {}, len(raw)
             self.kept[raw] = found
         return found
 
-    def apart(self, left: str, right: str) -> bool:
-        """Whether two stretches are encoded the same side by side as each alone."""
-        return not left or not right or self.encode(left + right).ids == self.encode(left).ids + self.encode(right).ids
-
-    def repair(self, before: list | None, middle: str, after: list | None) -> Encoded | None:
-        """The encoding of the text across a join; None where the bodies beside it have no more words to take in.
+    def repair(self, before: list | None, middle: str, after: list | None) -> bytes | None:
+        """The ids of the text across a join; None where the bodies beside it have no more words to take in.
 
-        before, after: text and encoding of these bodies, cut back as far as needed; None at the ends of a document.
+        before, after: text and ids of these bodies, cut back as far as needed; None at the ends of a document.
         """
         first, last = before[0] if before else "", after[0] if after else ""
         left, right, stretch, n, m = first, last, middle, 0, 0
         while True:
-            fits = self.apart(left[last_words(left, 1) :], stretch), self.apart(stretch, right[: first_words(right, 1)])
-            if all(fits):
+            found = self.encode(stretch)
+            one, other = left[last_words(left, 1) :], right[: first_words(right, 1)]
+            alone = self.encode(one), found, self.encode(other)
+            if self.encode(one + stretch + other) == b"".join(alone):
                 break
-            n, m = (n if fits[0] else n + 1 + n // 16), (m if fits[1] else m + 1 + m // 16)
+            # a side that agrees by itself stays as it is
+            n = n if self.encode(one + stretch) == alone[0] + alone[1] else n + 1 + n // 16
+            m = m if self.encode(stretch + other) == alone[1] + alone[2] else m + 1 + m // 16
             start, end = last_words(first, n), first_words(last, m)
-            if before and not start or after and end >= len(last):
+            if before and not start or after and end >= len(last) or (left, right) == (first[:start], last[end:]):
                 return None
             left, stretch, right = first[:start], first[start:] + middle + last[:end], last[end:]
-        found = self.encode(stretch)
         if n or m:
             self.widened += 1
         for side, rest in ((before, left), (after, right)):
@@ -237,7 +215,7 @@ class Coder:
                 side[:] = [rest, self.encode(rest)]
         return found
 
-    def __call__(self, raw: bytes | None) -> Encoded:
+    def __call__(self, raw: bytes | None) -> bytes:
         bodies: list[list] = []
         stretches = [""]
         for piece in map(self.chunk, chunks(raw or b"")):
@@ -245,13 +223,11 @@ class Coder:
             if not piece.plain:
                 bodies.append([piece.inside, piece.body])
                 stretches.append(piece.tail)
-        out = []
-        for before, stretch, after in zip([None, *bodies], stretches, [*bodies, None], strict=True):
-            out += [before, self.repair(before, stretch, after)] if before else [self.repair(before, stretch, after)]
-        if None in out:
+        found = [self.repair(before, stretch, after) for before, stretch, after in zip([None, *bodies], stretches, [*bodies, None], strict=True)]
+        if None in found:
             self.given_up += 1
             return self.encode.whole(raw.decode("utf-8", "replace"))
-        return join([p[1] if isinstance(p, list) else p for p in out])
+        return b"".join([found[0], *(part for (_, ids), stretch in zip(bodies, found[1:], strict=True) for part in (ids, stretch))])
 
 
 def _hash(raw: bytes) -> int:
@@ -306,7 +282,7 @@ def shared_chunks(docs: DataFrame, path: str) -> dict[bytes, bytes]:
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(path)
         for batch in batches:
-            bodies = [Chunk(raw.decode("utf-8", "replace"), encode).body.ids for raw in batch.column(1).to_pylist()]
+            bodies = [Chunk(raw.decode("utf-8", "replace"), encode).body for raw in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(bodies, pa.binary())], names=["chunk", "body"])
 
     once = texts.mapInArrow(fetched, "hash bigint, chunk binary").dropDuplicates(["hash"])
@@ -324,19 +300,20 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(path)
-        coder, size = Coder(encode, shared.value), encode.kind.itemsize
+        coder, digits = Coder(encode, shared.value), [str(i) for i in range(len(encode.pieces))]
         for batch in batches:
             for part in slices(batch, 256):
-                found = [coder(t) for t in as_bytes(part.column(1))]
+                packed = [np.frombuffer(coder(t), encode.kind) for t in as_bytes(part.column(1))]
+                found = [ids.tolist() for ids in packed]
                 columns = [
                     part.column(0),
-                    pa.array([len(e.ids) // size for e in found], pa.int64()),
-                    pa.array([sha256_hex(e.decimal) for e in found]),
-                    pa.array([sha256_hex(e.decoded) for e in found]),
+                    pa.array(list(map(len, found)), pa.int64()),
+                    pa.array([sha256_hex(" ".join(map(digits.__getitem__, ids)).encode()) for ids in found]),
+                    pa.array([sha256_hex(encode.decode(ids).encode()) for ids in found]),
                 ]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns.append(pa.array([np.frombuffer(e.ids, encode.kind).astype(np.int32) for e in found], pa.list_(pa.int32())))
+                    columns.append(pa.array([ids.astype(np.int32) for ids in packed], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
