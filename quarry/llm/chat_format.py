@@ -3,11 +3,15 @@
 Prefix sums of a conversation's turn tokens choose the windows: the token
 axis is cut into cells of what the budget leaves beside the system turn and
 the history; turns within one cell share a window, a turn that crosses a
-cell's end has its own. So windows hold whole turns, keep to the budget
-(unless a single turn exceeds it), and follow from prefix sums without a
-sequential pass. Every window repeats the conversation's first system turn
-and up to two turns before it, within a budget of their own; repeated turns
-are masked, so every assistant text is a target once.
+cell's end has its own. So windows hold whole turns and follow from prefix
+sums without a sequential pass. Every window repeats the conversation's
+first system turn and up to two turns before it; repeated turns are masked,
+so every assistant text is a target once.
+
+With the system turn and what is repeated, a window has BUDGET tokens at
+most, unless one turn and the system turn alone have more. History gets what
+is left of the budget, HISTORY_BUDGET at most; a long system turn takes from
+the cells only once the cells would be smaller than the history.
 
 A turn reads ``<s><|role|>text</s>``, a user's text between ``[INST] `` and
 `` [/INST]``. Control strings inside texts get a backslash after their first
@@ -27,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BUDGET, HISTORY_BUDGET, LEAST_CELL = 512, 128, 64
+BUDGET, HISTORY_BUDGET = 512, 128
 #: Tokens of a turn: runs of letters or digits, other characters one by one, and the markers.
 TOKEN, MARKERS = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]", 4
 _CONTROL = r"(/?(?:s>|INST\])|\|)"
@@ -72,12 +76,14 @@ def windows(conversations: DataFrame) -> DataFrame:
         F.lag(turn, 2).over(order).alias("h2"),
         F.max(F.when(F.col("is_system"), F.col("tokens"))).over(every).alias("system_tokens"),
     )
-    cell = F.greatest(F.lit(LEAST_CELL), BUDGET - HISTORY_BUDGET - F.coalesce("system_tokens", F.lit(0)))
+    room = BUDGET - F.coalesce("system_tokens", F.lit(0))
+    cell = F.greatest(F.lit(1), F.when(room >= 2 * HISTORY_BUDGET, room - HISTORY_BUDGET).otherwise(room))
     first, last = F.floor(F.col("before") / cell), F.floor((F.col("before") + F.greatest("cost", F.lit(1)) - 1) / cell)
     rows = rows.withColumn("window", 2 * first + (first != last).cast("int"))
     grouped = rows.groupBy("conv_id", "window").agg(
         F.sort_array(F.collect_list(F.struct("seq", "role", "text"))).alias("own"),
         F.min_by(F.struct("seq", "system", "h1", "h2"), "seq").alias("at"),
+        F.sum("tokens").alias("own_tokens"),
     )
 
     def repeated(source: Column, wanted: Column) -> Column:
@@ -86,10 +92,12 @@ def windows(conversations: DataFrame) -> DataFrame:
         )
 
     h1, h2, system = F.col("at.h1"), F.col("at.h2"), F.col("at.system")
-    near = h1.isNotNull() & ~h1["is_system"] & (h1["tokens"] <= HISTORY_BUDGET)
-    far = near & h2.isNotNull() & ~h2["is_system"] & (h1["tokens"] + h2["tokens"] <= HISTORY_BUDGET)
+    again = F.coalesce(system["seq"] < F.col("at.seq"), F.lit(False))
+    left = F.least(F.lit(HISTORY_BUDGET), BUDGET - F.col("own_tokens") - F.when(again, system["tokens"]).otherwise(0))
+    near = h1.isNotNull() & ~h1["is_system"] & (h1["tokens"] <= left)
+    far = near & h2.isNotNull() & ~h2["is_system"] & (h1["tokens"] + h2["tokens"] <= left)
     kept = F.concat(
-        repeated(system, F.coalesce(system["seq"] < F.col("at.seq"), F.lit(False))),
+        repeated(system, again),
         repeated(h2, F.coalesce(far, F.lit(False))),
         repeated(h1, F.coalesce(near, F.lit(False))),
     )

@@ -27,19 +27,23 @@ WITH turns AS (
          sum(CASE WHEN is_system THEN 0 ELSE tokens END) OVER (w ROWS UNBOUNDED PRECEDING) - CASE WHEN is_system THEN 0 ELSE tokens END AS before,
          max(CASE WHEN is_system THEN seq END) OVER (PARTITION BY conv_id) AS system_seq,
          max(CASE WHEN is_system THEN chars END) OVER (PARTITION BY conv_id) AS system_chars,
-         greatest({chat.LEAST_CELL}, {chat.BUDGET - chat.HISTORY_BUDGET} - coalesce(max(CASE WHEN is_system THEN tokens END) OVER (PARTITION BY conv_id), 0)) AS cell,
+         max(CASE WHEN is_system THEN tokens END) OVER (PARTITION BY conv_id) AS system_tokens,
+         {chat.BUDGET} - coalesce(max(CASE WHEN is_system THEN tokens END) OVER (PARTITION BY conv_id), 0) AS room,
+         greatest(1, CASE WHEN room >= {2 * chat.HISTORY_BUDGET} THEN room - {chat.HISTORY_BUDGET} ELSE room END) AS cell,
          lag(tokens, 1) OVER w AS t1, lag(tokens, 2) OVER w AS t2, lag(chars, 1) OVER w AS c1, lag(chars, 2) OVER w AS c2,
          lag(is_system, 1) OVER w AS s1, lag(is_system, 2) OVER w AS s2
   FROM sized WINDOW w AS (PARTITION BY conv_id ORDER BY seq)
 ), placed AS (
   SELECT *, 2 * (before // cell) + CASE WHEN before // cell <> (before + greatest(cost, 1) - 1) // cell THEN 1 ELSE 0 END AS win FROM summed
 ), firsts AS (
-  SELECT *, win IS DISTINCT FROM lag(win) OVER (PARTITION BY conv_id ORDER BY seq) AS opens FROM placed
+  SELECT *, win IS DISTINCT FROM lag(win) OVER (PARTITION BY conv_id ORDER BY seq) AS opens, sum(tokens) OVER (PARTITION BY conv_id, win) AS own FROM placed
+), given AS (
+  SELECT *, coalesce(system_seq < seq, false) AS again, least({chat.HISTORY_BUDGET}, {chat.BUDGET} - own - CASE WHEN system_seq < seq THEN system_tokens ELSE 0 END) AS room_left FROM firsts
 ), counted AS (
   SELECT conv_id, seq, role, text, chars + CASE WHEN opens THEN
-      CASE WHEN system_seq < seq THEN system_chars ELSE 0 END
-      + CASE WHEN NOT s1 AND t1 <= {chat.HISTORY_BUDGET} THEN c1 + CASE WHEN NOT s2 AND t1 + t2 <= {chat.HISTORY_BUDGET} THEN c2 ELSE 0 END ELSE 0 END
-    ELSE 0 END AS chars FROM firsts
+      CASE WHEN again THEN system_chars ELSE 0 END
+      + CASE WHEN NOT s1 AND t1 <= room_left THEN c1 + CASE WHEN NOT s2 AND t1 + t2 <= room_left THEN c2 ELSE 0 END ELSE 0 END
+    ELSE 0 END AS chars FROM given
 )
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY seq)) AS turns_sha256,

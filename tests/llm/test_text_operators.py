@@ -6,6 +6,7 @@ from itertools import combinations
 import duckdb
 import numpy as np
 import pytest
+import regex
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -617,11 +618,44 @@ def test_chat_windows_read_back(spark):
         assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert made.where("conv_id = 5").count() > 3
     assert made.where("conv_id = 5 and not startswith(formatted, '<s><|system|>')").count() == 0
-    sizes = made.where("conv_id < 9").select((F.regexp_count("formatted", F.lit("\\w+|[^\\s\\w]"))).alias("n"), "n_repeated").collect()
-    assert all(r["n_repeated"] <= 3 for r in sizes)
+    assert all(r["n_repeated"] <= 3 for r in made.where("conv_id < 9").select("n_repeated").collect())
     assert chat_format.digests(chat_format.windows(table.limit(0))).count() == 0
 
 
+def tokens_of(text):
+    """Letters or digits in a row, other signs one by one, and a turn's markers."""
+    return len(regex.findall(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]", text)) + 4
+
+
+def test_chat_windows_keep_the_budget(spark):
+    """With every length of system turn: 512 tokens, unless one turn and the system turn alone have more."""
+    rng = random.Random(5)
+    rows = []
+    for conv, system in enumerate((0, 5, 200, 252, 253, 320, 400, 500, 507, 508, 600)):
+        if system:
+            rows.append((conv, 1 if conv % 3 == 2 else -1, "system", "s " * system))
+        for turn in range(60):
+            long = rng.random() < 0.1
+            rows.append((conv, turn, "user" if turn % 2 else "assistant", "w " * (rng.randint(300, 700) if long else rng.randint(0, 130))))
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = chat_format.windows(table).cache()
+    whole = chat_format.read_back(made.withColumn("n_repeated", F.lit(0))).select("conv_id", "window", "turns").join(made, ["conv_id", "window"]).collect()
+    several = alone = history = 0
+    for r in whole:
+        turns = [(t["role"], tokens_of(t["text"])) for t in r["turns"]]
+        size, own = sum(n for _, n in turns), turns[r["n_repeated"] :]
+        systems = sum(n for role, n in turns if role == "system")
+        history += r["n_repeated"] > (turns[0][0] == "system" and r["n_repeated"] > 0)
+        if size > 512:
+            rest = [n for role, n in own if role != "system"]
+            assert len(rest) <= 1 and sum(rest) + systems == size  # nothing more could be given up
+            alone += 1
+        several += len(own) > 1
+    assert several > 50 and alone > 10 and history > 50
+    found = {r["conv_id"]: r["n_turns"] for r in chat_format.digests(made).collect()}
+    assert found == {conv: sum(r[0] == conv for r in rows) for conv in found}
+
+
 # licences
 
 
