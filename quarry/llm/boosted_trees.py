@@ -1,4 +1,4 @@
-"""Gradient-boosted trees for two classes, in numpy, by histograms of binned features."""
+"""Gradient-boosted trees for two classes, in numpy, by histograms of binned features; each tree grows on a share of the rows."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ import numpy as np
 
 
 class BoostedTrees:
-    def __init__(self, trees: int = 80, depth: int = 5, rate: float = 0.2, bins: int = 32, least: float = 1.0, l2: float = 1.0):
-        self.n_trees, self.depth, self.rate, self.bins, self.least, self.l2 = trees, depth, rate, bins, least, l2
+    def __init__(self, trees: int = 100, depth: int = 5, rate: float = 0.2, bins: int = 32, least: float = 1.0, l2: float = 1.0, share: float = 0.25, seed: int = 3):
+        self.n_trees, self.depth, self.rate, self.bins, self.least, self.l2, self.share, self.seed = trees, depth, rate, bins, least, l2, share, seed
         self.cuts: list[np.ndarray] = []
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.start = 0.0
@@ -22,14 +22,22 @@ class BoostedTrees:
         b = self._binned(x)
         share = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
         self.start = float(np.log(share / (1 - share)))
-        raw = np.full(len(y), self.start)
+        raw, rng = np.full(len(y), self.start), np.random.default_rng(self.seed)
         for _ in range(self.n_trees):
-            p = 1 / (1 + np.exp(-raw))
-            tree, leaf = self._grow(b, p - y, p * (1 - p))
-            self.trees.append(tree)
-            raw += tree[2][leaf]
+            some = np.flatnonzero(rng.random(len(y)) < self.share)
+            p = 1 / (1 + np.exp(-raw[some]))
+            self.trees.append(self._grow(b[some], p - y[some], p * (1 - p)))
+            raw += self._values(b, self.trees[-1])
         return self
 
+    def _values(self, b: np.ndarray, tree: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        feature, cut, value = tree
+        at, rows = np.zeros(len(b), dtype=int), np.arange(len(b))
+        for _ in range(self.depth):
+            k = feature[at]
+            at = 2 * at + 1 + ((k >= 0) & (b[rows, np.maximum(k, 0)] > cut[at]))
+        return value[at]
+
     def _grow(self, b: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple:
         """A full tree, split level by level: (feature, bin, value) by node; a split on feature -1 sends all left."""
         nodes = 2 ** (self.depth + 1) - 1
@@ -57,18 +65,13 @@ class BoostedTrees:
             at = 2 * at + 1 + ((k >= 0) & (b[np.arange(len(b)), np.maximum(k, 0)] > cut[at]))
         leaves = np.arange(nodes)
         value[leaves] = -self.rate * np.bincount(at, g, nodes) / (np.bincount(at, h, nodes) + self.l2)
-        return (feature, cut, value), at
+        return feature, cut, value
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         raw = np.full(len(x), self.start)
         if not len(x):
             return raw
         b = self._binned(x)
-        rows = np.arange(len(x))
-        for feature, cut, value in self.trees:
-            at = np.zeros(len(x), dtype=int)
-            for _ in range(self.depth):
-                k = feature[at]
-                at = 2 * at + 1 + ((k >= 0) & (b[rows, np.maximum(k, 0)] > cut[at]))
-            raw += value[at]
+        for tree in self.trees:
+            raw += self._values(b, tree)
         return raw

@@ -57,17 +57,20 @@ _TAGS = [
 ]
 #: Attribute words by kind, matched as prefixes of a class, id or role word. The last kind tells of main text, the others against it.
 _WORDS = [
-    ("ad", "advert", "ads", "sponsor", "promo", "banner", "dfp", "adslot"),
-    ("nav", "menu", "breadcrumb", "topbar", "toolbar", "toc", "pager", "pagination"),
-    ("foot", "bottom", "copyright", "legal", "imprint"),
-    ("side", "aside", "widget", "rail", "complementary"),
-    ("comment", "discuss", "repl", "respon", "feedback", "review"),
-    ("cookie", "consent", "gdpr", "notice", "alert", "popup", "modal", "overlay", "dialog"),
-    ("share", "social", "follow", "related", "recommend", "more", "tag", "popular", "trending"),
-    ("form", "search", "newsletter", "subscri", "signup", "login", "contact"),
-    ("head", "mast", "logo", "brand", "site"),
-    ("content", "article", "post", "entry", "story", "text", "main", "body", "blog", "read", "prose"),
+    ("ad", "advert", "ads", "sponsor", "promo", "banner", "dfp", "adslot", "werbung", "anzeige", "publicit", "publicidad", "anuncio", "pubblicit", "reklame"),
+    ("nav", "menu", "breadcrumb", "topbar", "toolbar", "toc", "pager", "pagination", "hauptmen", "brotkrumen"),
+    ("foot", "bottom", "copyright", "legal", "imprint", "fuss", "impressum", "pied", "piepagina", "rodape", "voettekst"),
+    ("side", "aside", "widget", "rail", "complementary", "seitenleiste", "randspalte", "barrelaterale", "lateral", "zijbalk"),
+    ("comment", "discuss", "repl", "respon", "feedback", "review", "kommentar", "diskussion", "comentari", "commenti", "reacties", "leserbrief"),
+    ("cookie", "consent", "gdpr", "notice", "alert", "popup", "modal", "overlay", "dialog", "hinweis", "avis", "aviso", "melding"),
+    ("share", "social", "follow", "related", "recommend", "more", "tag", "popular", "trending", "teilen", "verwandt", "partag", "compartir", "condividi", "delen"),
+    ("form", "search", "newsletter", "subscri", "signup", "login", "contact", "suche", "anmeld", "recherche", "buscar", "cerca", "zoek"),
+    ("head", "mast", "logo", "brand", "site", "kopf", "entete", "cabecera", "cabecalho", "intestazione", "koptekst"),
+    ("content", "article", "post", "entry", "story", "text", "main", "body", "blog", "read", "prose", "inhalt", "beitrag", "artikel", "contenu", "conten", "corps", "cuerpo", "inhoud"),
 ]
+#: Words in a text that tell of rights, and of calls and notices.
+_RIGHTS = re.compile(r"\u00a9|\bcopyright\b|rights reserved|rechte vorbehalten|droits r.serv|derechos reservados|diritti riservati", re.I)
+_CALLS = re.compile(r"\bcookies?\b|\bnewsletter\b|\bsubscribe\b|\bsign (?:up|in)\b|\blog in\b|\badvertisement\b|\bsponsored\b|\bprivacy policy\b", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _BAD_TAGS = {"nav", "menu", "header", "footer", "aside", "form"}
 
@@ -194,12 +197,15 @@ class Page:
     def features(self) -> np.ndarray:
         n = len(self.tags)
         own, linked, stops, blocks, first = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n), np.full(n, -1.0)
+        rights, calls = np.zeros(n), np.zeros(n)
         seen = 0
         for node, text, in_links in self.runs:
             own[node] += len(text)
             linked[node] += min(in_links, len(text))
             stops[node] += text.count(".") + text.count(",")
             blocks[node] += 1
+            rights[node] += bool(_RIGHTS.search(text)) * len(text)
+            calls[node] += bool(_CALLS.search(text)) * len(text)
             first[node] = seen if first[node] < 0 else first[node]
             seen += len(text)
         text, links, marks, runs, nodes, paras, starts = own.copy(), linked.copy(), stops.copy(), blocks.copy(), np.ones(n), np.zeros(n), first.copy()
@@ -208,7 +214,7 @@ class Page:
         for i in order:
             paras[i] += self.tags[i] == "p"
             p = self.parents[i]
-            for whole in (text, links, marks, runs, nodes, paras):
+            for whole in (text, links, marks, runs, nodes, paras, rights, calls):
                 whole[p] += whole[i]
             if starts[i] >= 0 and (starts[p] < 0 or starts[i] < starts[p]):
                 starts[p] = starts[i]
@@ -217,6 +223,11 @@ class Page:
         kinds = np.zeros((n, len(_WORDS)))
         bad, good, above = np.zeros(n), np.zeros(n), np.zeros((n, len(_WORDS)))
         told, inside = np.zeros(n), np.zeros(n)
+        # of the telling nodes at and above a node, the least share of the page's text, and whether that one has a title
+        told_share, told_title = np.ones(n), np.ones(n)
+        titles = np.array([tag == "h1" for tag in self.tags], dtype=float)
+        for i in order:
+            titles[self.parents[i]] += titles[i]
         rank, peers, same, peer_text = np.zeros(n), np.ones(n), np.ones(n), np.zeros(n)
         total = max(1.0, text[0])
         for i in range(n):
@@ -237,6 +248,9 @@ class Page:
             above[i] = np.maximum(above[p], kinds[p])
             telling = self.tags[i] in _BAD_TAGS or kinds[i, :-1].any()
             told[i] = told[p] + telling
+            told_share[i], told_title[i] = told_share[p], told_title[p]
+            if telling and text[i] / total <= told_share[p]:
+                told_share[i], told_title[i] = text[i] / total, titles[i] > 0
             inside[i] = 0 if telling else 1 if self.tags[i] in ("article", "main") or kinds[i, -1] else inside[p]
         one_hot = np.zeros((n, len(_TAGS)))
         for i, tag in enumerate(self.tags):
@@ -247,7 +261,8 @@ class Page:
         columns = [
             np.array(self.depths), peers, rank, logs(text), logs(own), links / np.maximum(1, text), logs(paras), text / nodes, text / np.maximum(1, runs),
             marks / np.maximum(1, text), text / total, np.where(starts < 0, 1, starts / total), bad, good, told, inside, same, logs(peer_text), logs(runs),
-            np.array([text[p] / total if p >= 0 else 1 for p in self.parents]), np.full(n, log1p(total)),
+            np.array([text[p] / total if p >= 0 else 1 for p in self.parents]), np.full(n, log1p(total)), rights / np.maximum(1, text), calls / np.maximum(1, text),
+            told_share, told_title,
         ]
         return np.column_stack([*columns, one_hot, kinds, above])
 
@@ -277,7 +292,7 @@ class Page:
 
 
 @lru_cache(maxsize=1)
-def model(n_pages: int = 1200, seed: int = 5) -> BoostedTrees:
+def model(n_pages: int = 1800, seed: int = 5) -> BoostedTrees:
     made = [Page(source) for source in chain(pages(n_pages, seed), flat_pages(n_pages // 20, seed))]
     x = np.concatenate([p.features() for p in made])
     return BoostedTrees().fit(x, np.concatenate([p.labels() for p in made]))

@@ -457,6 +457,49 @@ def test_article_of_a_page(spark):
     assert html_text.extract(rows.limit(0)).count() == 0
 
 
+TEXT = "<h1>A title</h1><p>First paragraph of the text, which is long enough to be one.</p><p>Second paragraph, which follows, and is as long as the first was.</p>"
+PLAIN = "A title First paragraph of the text, which is long enough to be one. Second paragraph, which follows, and is as long as the first was."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<nav><a href=/>Home</a> <a href=/n>News</a></nav><article class='comment-policy review'>{TEXT}<p>A third one.</p></article><footer>&copy; us</footer>",
+        f"<div class=kopfzeile>Die Zeitung</div><div class=inhalt>{TEXT}</div><div class=kommentare><div>Hans: Das ist ja schön, ich war auch da.</div></div><div class=fusszeile>Alle Rechte vorbehalten</div>",
+        f"<article>{TEXT}</article><div>Copyright 2020 Some Company. All rights reserved.</div>",
+        f"<table><tr><td><a href=/>Home</a> <a href=/news>News</a></td><td>{TEXT}</td></tr></table>",
+        f"<table><tr><td>Home<br>News</td><td>{TEXT}</td></tr></table>",
+        f"<div class=entete>Le Journal</div><div class=contenu>{TEXT}</div><div class=commentaires><p>Jean: je suis de cet avis.</p></div><div class=pied-de-page>Droits réservés</div>",
+    ],
+)
+def test_pages_that_name_things_otherwise(page):
+    wanted = PLAIN + " A third one." * ("third" in page)
+    assert html_text.main_texts([f"<html><body>{page}</body></html>"], html_text.model()) == [wanted]
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_pages_of_the_table_give_their_article(spark, sf):
+    """The article element of each page, read by a plain pattern: its text between tags."""
+    import html
+
+    table = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")
+    found = {r["page_id"]: r["text"] for r in html_text.extract(table).collect()}
+    inline = r"</?(?:a|b|em|i|span|strong|code)\b[^>]*>"
+    articles = 0
+    for r in table.collect():
+        inside = re.findall(r"<article[^>]*>(.*?)</article>", r["html"], re.S)
+        if len(inside) == 1 and not re.search(r"<(?!/?(?:p|h\d|b|br|a|em|i|span|strong|code|ul|ol|li|pre|blockquote)\b)", inside[0]):
+            articles += 1
+            blocks = re.sub(r"<[^>]*>", "\n", re.sub(inline, "", inside[0]))
+            assert found[r["page_id"]] == " ".join(html.unescape(blocks).split()), r["page_id"]
+    assert articles > 0.9 * len(found)
+
+
+def test_pages_with_columns_of_the_result(spark):
+    table = spark.createDataFrame([(1, "u", f"<article>{TEXT}</article>", "own", 3)], "page_id long, url string, html string, text string, n_chars int")
+    assert [tuple(r) for r in html_text.extract(table).collect()] == [(1, "u", PLAIN, len(PLAIN))]
+
+
 @pytest.mark.parametrize("tag", ["script", "STYLE", "noscript"])
 def test_closing_tags_after_letters_that_grow(tag):
     page = html_text.Page(f"<p>{'İ' * 30}</p><{tag}>var a = '</p>'</{tag}><p>Bu bir metin.</p><{tag}>b</{tag.swapcase()}><footer>son</footer>")
