@@ -544,11 +544,12 @@ def brute_top(rows, k, every):
                     if c != q and len(o) == len(v):
                         s = sum(a * b for a, b in zip(v, o, strict=True))
                         best[c] = max(best.get(c, s), s)
+        best = {c: min(max(s, -(2**63)), 2**63 - 1) for c, s in best.items()}
         out += [(q, rank, c, s) for rank, (c, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k], 1)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("scale", [1.0, 1e15])
+@pytest.mark.parametrize("scale", [1.0, 1e3, 1e6, 1e15])
 def test_top_k_by_brute_force(spark, monkeypatch, scale):
     monkeypatch.setattr(top_k, "DATA_BYTES", 600)
     monkeypatch.setattr(top_k, "QUERY_BYTES", 100)
@@ -559,11 +560,7 @@ def test_top_k_by_brute_force(spark, monkeypatch, scale):
         rows = rows[:150]
     table = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, rank int")
     found = sorted(tuple(r) for r in top_k.search(table, k=5, every=10).collect())
-    wanted = [(q, n, c, min(max(s, -(2**63)), 2**63 - 1)) for q, n, c, s in brute_top(rows, 5, 10)]
-    if scale == 1.0:
-        assert found == wanted
-    else:
-        assert len(found) == len(wanted)
+    assert found == brute_top(rows, 5, 10)
     assert top_k.search(table.limit(0)).count() == 0
 
 
@@ -572,6 +569,25 @@ def test_summaries_rule_out_far_groups():
     assert top_k.open_groups(pivots, {0: (50, 1.0), 1: (50, 1.0)}, {0: 0.5}, 5) == {0: [0]}
 
 
+def test_top_k_rules_out_groups_that_are_far(spark, monkeypatch):
+    monkeypatch.setattr(top_k, "DATA_BYTES", 2000)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(12, 6)) * 40
+    rows = [(i, [float(x) for x in centres[i % 12] + rng.normal(size=6)]) for i in range(600)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert top_k.pruned(table, every=10) > 0.5
+    assert sorted(tuple(r) for r in top_k.search(table, k=5, every=10).collect()) == brute_top(rows, 5, 10)
+
+
+def test_top_k_of_many_lengths(spark, monkeypatch):
+    """More lengths than the sample shows: those without pivots are searched whole."""
+    monkeypatch.setattr(top_k, "SAMPLE", 20)
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(size=i % 60)]) for i in range(400)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in top_k.search(table, k=5, every=10).collect()) == brute_top(rows, 5, 10)
+
+
 def test_top_k_where_every_row_is_repeated(spark):
     rng = np.random.default_rng(3)
     places = [(3 * c + i, [10.0 * (c + 1) + float(rng.normal()) * 0.01, float(rng.normal()) * 0.01]) for c in range(8) for i in range(3)]
