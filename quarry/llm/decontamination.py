@@ -42,34 +42,45 @@ from pyspark.sql import functions as F
 from quarry.llm.common import as_bytes, drop_marked, share, slices, small_batches, words_of, written
 
 #: Bytes of texts of a segment, unless one text has more, and characters of items that one pass over the index takes.
-SEGMENT_BYTES, BLOCK_CHARS = 2_000_000, 8_000_000
+SEGMENT_BYTES, BLOCK_CHARS = 1_000_000, 8_000_000
 #: Distinct terms of a window that must stand near each other for a proximity match.
 NEAR_TERMS = 3
 #: Places, and windows, that are looked at together.
 PIECE, ROWS = 1 << 20, 1 << 16
 
 
+class _Numbers(dict):
+    """A number for each key, in order of their coming."""
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = number = len(self)
+        return number
+
+
 def _segment(part: pa.RecordBatch) -> dict:
     """Columns of a segment of rows doc_id, text_hash, text."""
-    texts, dictionary, numbers, sizes = as_bytes(part.column(2)), {}, [], []
+    texts, dictionary, numbers, sizes = as_bytes(part.column(2)), _Numbers(), [], []
     for text in texts:
         words = words_of(text)
         sizes.append(len(words))
-        numbers.append(np.fromiter((dictionary.setdefault(w, len(dictionary)) for w in words), np.int32, len(words)))
+        numbers += map(dictionary.__getitem__, words)
     ranked = sorted(dictionary)
     rank = np.empty(len(ranked), np.int32)
     rank[[dictionary[w] for w in ranked]] = np.arange(len(ranked), dtype=np.int32)
-    terms = rank[np.concatenate(numbers)] if dictionary else np.zeros(0, np.int32)
+    terms = rank[np.array(numbers, np.int32)]
     places = np.argsort(terms, kind="stable").astype(np.int32)
-    ends = np.cumsum(np.bincount(terms, minlength=len(ranked)))
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    pairs = np.unique(terms.astype(np.int64) * len(texts) + owner) // max(1, len(texts))
+    counts = np.bincount(terms, minlength=len(ranked))
+    ends = np.cumsum(counts)
+    # the postings of a term run through the documents in order, so each change is a document
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)[places]
+    new = np.append(True, owner[1:] != owner[:-1])[: len(owner)]
+    new[(ends - counts)[counts > 0]] = True
     return {
         "doc_ids": part.column(0),
         "text_hashes": part.column(1),
         "n_words": sizes,
         "terms": ranked,
-        "documents": np.bincount(pairs, minlength=len(ranked)),
+        "documents": np.bincount(terms[places[new]], minlength=len(ranked)),
         "ends": ends,
         "postings": zstandard.ZstdCompressor(level=1).compress(np.diff(places, prepend=np.int32(0)).tobytes()),
     }
