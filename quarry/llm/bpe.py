@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ REACH, ENDS, LEAST = 16, 1 << 10, 256
 SHARED_BYTES, KEPT_BYTES = 8_000_000, 16_000_000
 #: Bytes of a chunk that is worth sharing at most, and their number at most.
 LONGEST_SHARED, SHARED_CHUNKS = 16_384, 20_000
-#: Words whose ids a task keeps.
+#: Words whose ids a worker keeps at least, and half of those that it keeps at most.
 KEPT_WORDS = 300_000
 _GEAR = np.random.default_rng(4).integers(0, 2**63, 256, dtype=np.uint64)
 _SPACES = b" \t\n\r"
@@ -91,6 +92,7 @@ class Encoder:
         self.library.no_padding()
         self.pretokens = regex.compile(self.WORDS).findall
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # words known before the last KEPT_WORDS came
         self.pieces = [self.library.id_to_token(i) for i in range(self.library.get_vocab_size())]
         self.ending = np.array([p.endswith("</w>") for p in self.pieces])
         self.kind = np.dtype(np.uint16 if len(self.pieces) <= 1 << 16 else np.uint32)
@@ -110,9 +112,12 @@ class Encoder:
             return b"".join(map(known.__getitem__, words))
         except KeyError:
             if len(known) > KEPT_WORDS:
-                known.clear()
-            new = list(set(words).difference(known))
-            known.update(zip(new, self._learn(new), strict=True))
+                self.before, self.known = known, {}
+                known = self.known
+            missed = set(words).difference(known)
+            known.update((w, self.before[w]) for w in missed.intersection(self.before))
+            if new := list(missed.difference(self.before)):
+                known.update(zip(new, self._learn(new), strict=True))
         return b"".join(map(known.__getitem__, words))
 
     def _learn(self, words: list[str]) -> list[bytes]:
@@ -131,6 +136,12 @@ class Encoder:
         return " ".join(map(self.pieces.__getitem__, ids))
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One of each worker process, which its tasks take over with the words it knows."""
+    return Encoder(path)
+
+
 _WORD = re.compile(r"[ \t\n\r]+[^ \t\n\r]+")
 
 
@@ -280,7 +291,7 @@ def shared_chunks(docs: DataFrame, path: str) -> dict[bytes, bytes]:
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["hash", "chunk"])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = encoder(path)
         for batch in batches:
             bodies = [Chunk(raw.decode("utf-8", "replace"), encode).body for raw in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(bodies, pa.binary())], names=["chunk", "body"])
@@ -299,7 +310,7 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = encoder(path)
         coder, digits = Coder(encode, shared.value), [str(i) for i in range(len(encode.pieces))]
         for batch in batches:
             for part in slices(batch, 256):
@@ -326,7 +337,7 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     kind = dict(tokens.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(path)
+        coder = encoder(path)
         for batch in batches:
             for part in slices(batch, 256):
                 texts = [None if ids is None else coder.decode(ids) for ids in part.column(1).to_pylist()]
