@@ -30,10 +30,11 @@ is hit. Empty input gives an empty result. Other columns are ignored.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -75,19 +76,32 @@ def _segment(part: pa.RecordBatch) -> dict:
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)[places]
     new = np.append(True, owner[1:] != owner[:-1])[: len(owner)]
     new[(ends - counts)[counts > 0]] = True
+    squeeze = zstandard.ZstdCompressor(level=1).compress
     return {
         "doc_ids": part.column(0),
         "text_hashes": part.column(1),
-        "n_words": sizes,
-        "terms": ranked,
-        "documents": np.bincount(terms[places[new]], minlength=len(ranked)),
-        "ends": ends,
-        "postings": zstandard.ZstdCompressor(level=1).compress(np.diff(places, prepend=np.int32(0)).tobytes()),
+        "n_words": pa.array(sizes, pa.int32()),
+        "terms": squeeze(b"\n".join(ranked)),
+        "documents": squeeze(np.bincount(terms[places[new]], minlength=len(ranked)).astype(np.int32).tobytes()),
+        "postings": squeeze(np.concatenate([counts, np.diff(places, prepend=np.int32(0))]).astype(np.int32).tobytes()),
     }
 
 
+class Segment:
+    """A row of the index, read back."""
+
+    def __init__(self, expand: Callable[[bytes], bytes], terms: bytes, documents: bytes | None = None, postings: bytes | None = None):
+        words = expand(terms)
+        self.terms = pa.array(words.split(b"\n") if words else [], pa.binary())
+        if documents is not None:
+            self.documents = np.frombuffer(expand(documents), np.int32)
+        if postings is not None:
+            flat = np.frombuffer(expand(postings), np.int32)
+            self.ends, self.places = np.cumsum(flat[: len(self.terms)]), np.cumsum(flat[len(self.terms) :])
+
+
 def index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """A row for each segment: its documents, its sorted terms (UTF-8), the documents and the end of the postings of each, and packed postings."""
+    """A row for each segment: its documents, its sorted terms, in how many documents each stands, and the postings; the last three packed."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -105,18 +119,17 @@ def index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
             for part in parts(batch):
                 made = _segment(part)
                 segment, made_here = f"{TaskContext.get().partitionId()}-{made_here}", made_here + 1
-                lists = [("doc_ids", part.schema.field(0).type), ("text_hashes", pa.int64()), ("n_words", pa.int32()), ("terms", pa.binary()), ("documents", pa.int32()), ("ends", pa.int32())]
                 arrays = [pa.array([segment])]
-                for name, of in lists:
-                    values = made[name] if isinstance(made[name], pa.Array) else pa.array(made[name], of)
-                    arrays.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(of)))
-                arrays.append(pa.array([made["postings"]], pa.binary()))
-                yield pa.RecordBatch.from_arrays(arrays, names=["segment", *(name for name, _ in lists), "postings"])
+                for name in ("doc_ids", "text_hashes", "n_words"):
+                    values = made[name].combine_chunks() if isinstance(made[name], pa.ChunkedArray) else made[name]
+                    arrays.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
+                arrays += [pa.array([made[name]], pa.binary()) for name in ("terms", "documents", "postings")]
+                yield pa.RecordBatch.from_arrays(arrays, names=["segment", "doc_ids", "text_hashes", "n_words", "terms", "documents", "postings"])
 
     rows = small_batches(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     return rows.mapInArrow(
         run,
-        f"segment string, doc_ids array<{kind}>, text_hashes array<bigint>, n_words array<int>, terms array<binary>, documents array<int>, ends array<int>, postings binary",
+        f"segment string, doc_ids array<{kind}>, text_hashes array<bigint>, n_words array<int>, terms binary, documents binary, postings binary",
     )
 
 
@@ -177,11 +190,13 @@ def document_frequency(segments: DataFrame, terms: list[bytes]) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = pa.array(shared.value, pa.binary())
         counts = np.zeros(len(wanted), np.int64)
+        expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for row in range(batch.num_rows):
-                at = pa.compute.index_in(wanted, batch.column(0)[row].values)
+            for terms, documents in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                segment = Segment(expand, terms, documents)
+                at = pa.compute.index_in(wanted, segment.terms)
                 known = np.flatnonzero(at.is_valid())
-                counts[known] += batch.column(1)[row].values.to_numpy()[at.to_numpy(zero_copy_only=False)[known].astype(int)]
+                counts[known] += segment.documents[at.fill_null(0).to_numpy()[known]]
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some])], names=["term", "n"])
 
@@ -199,10 +214,11 @@ class Matcher:
         self.of, self.slop = windows, slop
         self.wanted = pa.array(windows.terms, pa.binary())
 
-    def __call__(self, terms: pa.Array, ends: np.ndarray, places: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, ...]:
+    def __call__(self, segment: Segment, n_words: np.ndarray) -> tuple[np.ndarray, ...]:
         """(document, window, first word) of exact matches and (document, window) of mere proximity, as rows of two arrays."""
         starts_of = np.concatenate([[0], np.cumsum(n_words)]).astype(np.int64)
-        at = pa.compute.index_in(self.wanted, terms)
+        ends, places = segment.ends, segment.places
+        at = pa.compute.index_in(self.wanted, segment.terms)
         local = np.where(at.is_valid().to_numpy(zero_copy_only=False), at.fill_null(0).to_numpy(), -1).astype(np.int32)
         self.local = np.append(local, np.int32(-2))  # terms of the segment: -1 is missing, -2 is beyond the end of the window
         windows, order, rarest = self.of.windows, self.of.order, self.of.rare
@@ -288,8 +304,7 @@ def _match_block(segments: DataFrame, items: list[tuple[str, bytes]], length: in
         for row in (part for batch in batches for part in slices(batch, 1)):
             column = {name: row.column(i)[0] for i, name in enumerate(row.schema.names)}
             n_words = column["n_words"].values.to_numpy()
-            places = np.cumsum(np.frombuffer(expand(column["postings"].as_py()), np.int32))
-            exact, near = match(column["terms"].values, column["ends"].values.to_numpy(), places, n_words)
+            exact, near = match(Segment(expand, column["terms"].as_py(), postings=column["postings"].as_py()), n_words)
             by_doc: dict[int, list] = defaultdict(list)
             for doc, k, start in exact[np.lexsort((exact[:, 2], exact[:, 1], exact[:, 0]))].tolist():
                 by_doc[doc].append((k, start))
@@ -314,7 +329,7 @@ def _match_block(segments: DataFrame, items: list[tuple[str, bytes]], length: in
                     names=["segment", "place", "doc_id", "text_hash", "n_words", "n_hit", "exact", "near"],
                 )
 
-    return segments.select("segment", "doc_ids", "text_hashes", "n_words", "terms", "ends", "postings").mapInArrow(
+    return segments.select("segment", "doc_ids", "text_hashes", "n_words", "terms", "postings").mapInArrow(
         run,
         f"segment string, place int, doc_id {kind}, text_hash bigint, n_words bigint, n_hit bigint, "
         "exact array<struct<item_id:string,start:int,length:int>>, near array<string>",
