@@ -115,8 +115,8 @@ class Encoder:
                 self.before, self.known = known, {}
                 known = self.known
             missed = set(words).difference(known)
-            known.update((w, self.before[w]) for w in missed.intersection(self.before))
-            if new := list(missed.difference(self.before)):
+            known.update({w: self.before[w] for w in missed if w in self.before})
+            if new := [w for w in missed if w not in self.before]:
                 known.update(zip(new, self._learn(new), strict=True))
         return b"".join(map(known.__getitem__, words))
 
