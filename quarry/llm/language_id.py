@@ -33,7 +33,7 @@ words_in = regex.compile(r"\p{L}+").findall
 #: Words of a text that count as evidence at most, so that scores of long texts stay apart from 1.
 EVIDENCE = 30
 #: Cells of words by languages that are in memory at a time, about.
-CELLS = 1 << 20
+CELLS = 1 << 17
 _POWERS = np.cumprod(np.full(1 << 12, 0x9E3779B97F4A7C15, dtype=np.uint64))
 
 
@@ -102,15 +102,28 @@ class Model:
 
     def __init__(self, rows: list[tuple[str, str, int]], orders: int = 5):
         """rows: (language, word, count)."""
-        self.languages = sorted({lang for lang, _, _ in rows})
+        langs, words, counts = ([r[i] for r in rows] for i in range(3))
+        self.languages = sorted(set(langs))
         place = {lang: i for i, lang in enumerate(self.languages)}
-        langs = np.array([place[lang] for lang, _, _ in rows], np.int32)
-        counts = np.array([n for _, _, n in rows], np.float64)
-        points, ends = _framed([word for _, word, _ in rows])
-        self.tables = [Table(_whole(points, ends), langs, counts, len(place))]
+        self._count(np.array([place[lang] for lang in langs], np.int32), words, np.array(counts, np.float64), orders)
+
+    @staticmethod
+    def of_table(table: pa.Table, orders: int = 5) -> Model:
+        """From columns lang, word and n."""
+        model = Model.__new__(Model)
+        named = table.column("lang").combine_chunks().dictionary_encode()
+        model.languages = sorted(named.dictionary.to_pylist())
+        place = np.array([model.languages.index(lang) for lang in named.dictionary.to_pylist()], np.int32)
+        langs = place[named.indices.to_numpy()] if len(place) else np.zeros(0, np.int32)
+        model._count(langs, table.column("word").to_pylist(), table.column("n").to_numpy().astype(np.float64), orders)
+        return model
+
+    def _count(self, langs: np.ndarray, words: list[str], counts: np.ndarray, orders: int) -> None:
+        points, ends = _framed(words)
+        self.tables = [Table(_whole(points, ends), langs, counts, len(self.languages))]
         for n in range(1, orders + 1):
             hashes, owner = _grams(points, ends, n)
-            self.tables.append(Table(hashes, langs[owner], 1 + np.log(counts[owner]), len(place)))
+            self.tables.append(Table(hashes, langs[owner], 1 + np.log(counts[owner]), len(self.languages)))
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """A row of scores for each word; zeros for a word that says nothing."""
@@ -206,7 +219,7 @@ def train(docs: DataFrame, where: Column | None = None, rows_per_language: int =
     counted = small_batches(drawn).select("lang", "text").mapInArrow(_count_words, "lang string, word string, n bigint")
     words = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
     sizes.unpersist()
-    return Model(list(zip(*(words.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True)))
+    return Model.of_table(words)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
