@@ -38,11 +38,11 @@ from quarry.llm.common import as_bytes, sha256_hex, share, slices, small_batches
 #: Bytes that the rolling hash sees, the chance of an end at a byte, the least bytes of a chunk.
 REACH, ENDS, LEAST = 16, 1 << 10, 256
 #: Bytes of text of the chunks that all tasks share, and of those that a task keeps.
-SHARED_BYTES, KEPT_BYTES = 8_000_000, 16_000_000
+SHARED_BYTES, KEPT_BYTES = 8_000_000, 8_000_000
 #: Bytes of a chunk that is worth sharing at most, and their number at most.
 LONGEST_SHARED, SHARED_CHUNKS = 16_384, 20_000
 #: Words whose ids a worker keeps at least, and half of those that it keeps at most.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 120_000
 _GEAR = np.random.default_rng(4).integers(0, 2**63, 256, dtype=np.uint64)
 _SPACES = b" \t\n\r"
 
