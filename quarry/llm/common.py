@@ -43,7 +43,7 @@ def forget(df: DataFrame) -> None:
 
 
 #: Bytes of an Arrow batch that goes to a Python worker, where the session leaves it to the default.
-BATCH_BYTES = 8 * 1024 * 1024
+BATCH_BYTES = 4 * 1024 * 1024
 
 
 def small_batches(df: DataFrame) -> DataFrame:
